@@ -461,6 +461,6 @@ def _classifiers(spark, path):
     parts = planted_split(spark, path).select("row_id", "prompt", "label", "split")
     test = parts.where("split = 'test'")
     svm = tfidf.fit_tfidf_svm(parts.where("split = 'train'"), max_features=2000, max_iter=20)
-    rows = test.select(F.lit("keyword_blocklist").alias("method"), "label", blocklist.keyword_blocklist(F.col("prompt")).alias("pred"))
-    rows = rows.unionByName(svm.predict(test).select(F.lit("tfidf_svm").alias("method"), "label", "pred"))
+    ruled = blocklist.keyword_blocklist(test)
+    rows = ruled.select(F.lit("keyword_blocklist").alias("method"), "label", "pred").unionByName(svm.predict(test).select(F.lit("tfidf_svm").alias("method"), "label", "pred"))
     return rounded(evaluate.summary_scores(rows, BY))

@@ -17,6 +17,7 @@ from tidemark.functions.rules import PHRASE_RULES
 from tidemark.operators import matrix
 from tidemark.operators.build import encode_sources
 from tidemark.plans.corpus import engineered_table
+from tidemark.session import materialise
 
 # ---- the feature definitions as SQL ------------------------------------
 
@@ -225,7 +226,8 @@ NUMERIC = ["char_length", "word_count", "avg_word_length", "uppercase_ratio", "w
 def features(spark, path, keep=("row_id", "label")):
     feats = text_features(planted_labelled(spark, path), "train")
     cols = [F.round(F.col(c).cast("double"), 6).alias(c) for c in TRAIN_FEATURES]
-    return feats.select(*keep, *cols)
+    # fitting and applying both read the narrow table; texts are scanned once
+    return materialise(feats.select(*keep, *cols))
 
 
 @query(

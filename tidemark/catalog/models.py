@@ -26,7 +26,7 @@ ANY = quoted_pattern("|".join(f"(?:{p})" for _, p in PATTERNS))
     f"WITH {PLANTED} SELECT row_id, CASE WHEN regexp_matches(lower(prompt), {ANY}) THEN 1 ELSE 0 END AS pred FROM planted",
 )
 def _blocklist(spark, path):
-    return planted(spark, path).select("row_id", blocklist.keyword_blocklist(F.col("prompt")).alias("pred"))
+    return blocklist.keyword_blocklist(planted(spark, path).select("row_id", "prompt")).drop("prompt")
 
 
 @query(

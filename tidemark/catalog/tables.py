@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.harmonise import SourceConfig, merge_sources
+from tidemark.sources.readers import read_balanced
 
 # The tables carry no attack wording; every document gets one of these endings.
 ENDINGS = (
@@ -24,8 +25,13 @@ ENDINGS = (
 )
 
 
+KEYS = {"documents": "doc_id", "conversations": "conv_id", "embeddings": "vec_id"}
+
+
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}.parquet")
+    """Tables with costly columns are spread over the cores when small."""
+    file = f"{path}/{name}.parquet"
+    return read_balanced(spark, file, KEYS[name]) if name in KEYS else spark.read.parquet(file)
 
 
 def prompts(spark: SparkSession, path: str) -> DataFrame:

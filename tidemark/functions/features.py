@@ -50,11 +50,12 @@ ANOMALY_LEXICAL = [
 ]
 ANOMALY_FEATURES = [*ANOMALY_LEXICAL, "embedding_norm", *PCA_FEATURES]
 
-# str.isdigit() accepts decimal digits and these superscript-like digits.
+# str.isdigit() accepts decimal digits and these superscript-like digits; the
+# intersection lets the many other characters fail on one cheap test.
 DIGITS = (
-    r"\p{Nd}\xb2\xb3\xb9\u1369-\u1371\u19da\u2070\u2074-\u2079\u2080-\u2089\u2460-\u2468"
+    r"\p{N}&&[\p{Nd}\xb2\xb3\xb9\u1369-\u1371\u19da\u2070\u2074-\u2079\u2080-\u2089\u2460-\u2468"
     r"\u2474-\u247c\u2488-\u2490\u24ea\u24f5-\u24fd\u24ff\u2776-\u277e\u2780-\u2788\u278a-\u2792"
-    r"\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}"
+    r"\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}]"
 )
 MARKDOWN = {"train": "[`*_#>-]", "serve": r"[#*`>_\-\[\]()]"}
 BRACKETS = {"train": r"[()\[\]{}]", "serve": r"[()\[\]{}<>]"}
@@ -169,11 +170,11 @@ def text_features(
         "non_ascii_count": non_ascii,
         "non_ascii_ratio": non_ascii / size,
         "newline_count": count_char(t, "\n"),
-        "markdown_symbol_count": count_matches(marks, MARKDOWN[profile]),
+        "markdown_symbol_count": count_dropped(marks, MARKDOWN[profile] + "+"),
         "has_code_block": F.contains(marks, F.lit("```")).cast("int"),
         "repeated_punct_count": count_matches(marks, r"([!?.,:;])\1+"),
-        "quote_count": count_matches(marks, "[\"']"),
-        "bracket_count": count_matches(marks, BRACKETS[profile]),
+        "quote_count": count_dropped(marks, "[\"']+"),
+        "bracket_count": count_dropped(marks, BRACKETS[profile] + "+"),
         "colon_count": count_char(marks, ":"),
         "semicolon_count": count_char(marks, ";"),
     }

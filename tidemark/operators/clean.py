@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import content_digest, normalize_clean, strip_ws
+from tidemark.operators.common import null_safe_join
+from tidemark.session import materialise
 
-CORE = ("prompt", "label", "source_dataset")
+BROADCAST_DIGESTS = 1_000_000  # of 32 bytes each
 
 
 def _unpivot(row: DataFrame, names: Sequence[str], key: str, value: str) -> DataFrame:
@@ -97,27 +99,37 @@ def conflict_digests(df: DataFrame, text_col: str = "prompt") -> DataFrame:
     )
 
 
+def found_conflicts(df: DataFrame, text_col: str = "prompt") -> DataFrame:
+    """The conflict digests, computed once; broadcast if at most
+    ``BROADCAST_DIGESTS``.  Beyond, the checkpointed table is joined by shuffle
+    with nothing between join and exchange, so AQE can split a hot text."""
+    found = materialise(conflict_digests(df, text_col))
+    return F.broadcast(found) if found.count() <= BROADCAST_DIGESTS else found
+
+
 def drop_conflicts(df: DataFrame, text_col: str = "prompt") -> DataFrame:
-    """Remove every row of a conflicting text (a shuffled anti-join; AQE splits
-    a hot text's partition on the left side)."""
+    """Remove every row of a conflicting text."""
     keyed = df.withColumn("_digest", content_digest(F.col(text_col)))
-    return keyed.join(conflict_digests(df, text_col), "_digest", "left_anti").drop("_digest")
+    return keyed.join(found_conflicts(df, text_col), "_digest", "left_anti").drop("_digest")
 
 
 def conflict_examples(df: DataFrame, n: int = 5, text_col: str = "prompt") -> DataFrame:
     """All rows of the first ``n`` conflicting texts, sorted by text."""
-    first = label_conflicts(df, text_col).select(text_col).orderBy(text_col).limit(n)
-    return df.join(F.broadcast(first), text_col, "left_semi").orderBy(text_col)
+    first = materialise(label_conflicts(df, text_col).select(text_col).orderBy(text_col).limit(n))
+    return null_safe_join(df, F.broadcast(first), [text_col], "left_semi").orderBy(text_col)
 
 
 def clean(df: DataFrame, text_col: str = "prompt") -> DataFrame:
     """Drop empty, normalise, drop exact duplicate rows, drop conflicting texts.
 
-    Conflicts are found on digests of the normalised rows: removing duplicate
-    rows first would not change which texts conflict, and this way the texts
-    themselves are deduplicated last, after the conflicting ones are gone."""
+    Texts are shuffled once, for the duplicates; after that a text has at most
+    one row per label and source, so the anti-join on it has no hot key.  The
+    conflicts are found on digests of the rows before deduplication, which has
+    no influence on them."""
     ready = normalize_prompts(drop_empty_prompts(df, text_col), text_col)
-    return drop_exact_duplicates(drop_conflicts(ready, text_col))
+    distinct = drop_exact_duplicates(ready)
+    keyed = distinct.withColumn("_digest", content_digest(F.col(text_col)))
+    return keyed.join(found_conflicts(ready, text_col), "_digest", "left_anti").drop("_digest")
 
 
 def _digest_table(ready: DataFrame, text_col: str) -> DataFrame:

@@ -122,12 +122,10 @@ def curve_table(
     Everything below reads this table.  It is checkpointed: the predictions are
     scanned once whatever is computed from the curve."""
     by = list(by)
-    points = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(
-        *by, F.col(score).cast("double").alias("score")
-    )
+    points = df.groupBy(*by, F.col(score).cast("double").alias("score"))
     counts = materialise(
         points.agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    )
+    ).where("score IS NOT NULL AND pos + neg > 0")
     run = running_totals(counts, by, "score", ["pos", "neg"], True, max_window_rows)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     return null_safe_join(run, small_table(totals), by)

@@ -254,9 +254,10 @@ def fit_pca(df: DataFrame, col: str = "embedding", k: int = 32) -> PcaProjection
     """Spark's PCA; the driver sees one d x d covariance.  Spark neither centres
     the projected rows nor fixes signs: the mean is kept, and each component is
     turned so that its largest loading is positive."""
-    vectors = df.select(array_to_vector(as_double(F.col(col))).alias("_v"))
+    vectors = df.select(array_to_vector(as_double(F.col(col))).alias("_v")).persist()
     mean = vectors.select(Summarizer.mean(F.col("_v"))).first()[0].toArray()
     model = PCA(k=min(k, len(mean)), inputCol="_v", outputCol="_p").fit(vectors)
+    vectors.unpersist()
     loadings = model.pc.toArray()
     peak = loadings[np.abs(loadings).argmax(axis=0), range(loadings.shape[1])]
     return PcaProjection(mean, loadings * np.sign(peak), model.explainedVariance.toArray())
@@ -276,10 +277,12 @@ def rf_importance(
 ) -> DataFrame:
     weighted = with_class_weight(df.withColumn("label", F.col(label).cast("int")))
     data = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(weighted)
+    data = data.select("_v", "label", "weight").persist()
     forest = RandomForestClassifier(
         labelCol="label", featuresCol="_v", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed
     )
     scores = forest.fit(data).featureImportances.toArray()
+    data.unpersist()
     rows = [(c, float(s)) for c, s in zip(cols, scores)]
     table = df.sparkSession.createDataFrame(rows, "feature string, importance double")
     return table.orderBy(F.desc("importance"), F.asc("feature"))

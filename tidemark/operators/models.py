@@ -55,7 +55,7 @@ def fit_text_classifier(
     max_iter: int = 50, seed: int = 42, parallelism: int = 2,
 ) -> LinearClassifier:
     """Class-weighted logistic regression; regularisation chosen by macro-F1."""
-    data = _assembled(train, cols).select("features", "label", "weight")
+    data = _assembled(train, cols).select("features", "label", "weight").persist()
     regression = LogisticRegression(maxIter=max_iter, weightCol="weight", family="binomial")
     params = ParamGridBuilder().addGrid(regression.regParam, list(grid)).build()
     if len(params) > 1:
@@ -66,6 +66,7 @@ def fit_text_classifier(
         model = search.fit(data).bestModel
     else:
         model = regression.fit(data, params[0])
+    data.unpersist()
     return LinearClassifier(tuple(cols), model.coefficients.toArray(), float(model.intercept))
 
 
@@ -74,16 +75,20 @@ def fit_mlp(
     max_iter: int = 40, seed: int = 42, parallelism: int = 2,
 ):
     """Dense net with three hidden layers; the layout is chosen by macro-F1."""
-    data = _assembled(train, cols).select("features", "label")
+    data = _assembled(train, cols).select("features", "label").persist()
     net = MultilayerPerceptronClassifier(maxIter=max_iter, seed=seed, blockSize=64)
     layouts = [[len(cols), *h, 2] for h in hidden]
     grid = ParamGridBuilder().addGrid(net.layers, layouts).build()
     if len(grid) == 1:
-        return net.fit(data, grid[0])
+        model = net.fit(data, grid[0])
+        data.unpersist()
+        return model
     search = TrainValidationSplit(
         estimator=net, estimatorParamMaps=grid, evaluator=MacroF1(), trainRatio=0.8, seed=seed, parallelism=parallelism
     )
-    return search.fit(data).bestModel
+    model = search.fit(data).bestModel
+    data.unpersist()
+    return model
 
 
 def batch_predict(df: DataFrame, model, cols: Sequence[str]) -> DataFrame:

@@ -76,7 +76,9 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by: Sequence[str] = ()) -
     """Equal-width counts over the column's range; the last bin is closed and
     empty bins are kept (per group too, over the common range)."""
     by = list(by)
-    values = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_x"))
+    # nulls fall into a null bin, which no slot joins; a filter here would be
+    # pushed down and compute a derived column twice
+    values = df.select(*by, F.col(col).cast("double").alias("_x"))
     span = values.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi")).alias("s")).scalar()
     tagged = values.withColumn("_s", span).withColumn(
         "bin", _bin(F.col("_x"), F.col("_s.lo"), F.col("_s.hi"), bins)
@@ -107,7 +109,7 @@ def boxplot_stats(df: DataFrame, col: str, by: str = "label") -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (extreme values inside the fences) and outliers.
 
     Works on (group, value, count) rows, far fewer than the input rows."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(by, F.col(col).cast("double").alias("v")).agg(
+    counts = df.groupBy(by, F.col(col).cast("double").alias("v")).agg(
         F.count("*").alias("n")
     )
     probs = F.array(*[F.lit(p) for p in QUARTILES])

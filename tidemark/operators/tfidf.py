@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml.feature import CountVectorizerModel, NGram
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -25,18 +25,49 @@ from tidemark.operators.matrix import literal_array
 from tidemark.operators.profile import WORD
 
 
-def with_terms(
-    df: DataFrame, text_col: str = "prompt", ngrams: tuple[int, int] = (1, 3), accents: bool = True
-) -> DataFrame:
-    """Add ``_terms``: lower-cased words and their n-grams."""
+def with_words(df: DataFrame, text_col: str = "prompt", accents: bool = True) -> DataFrame:
+    """Add ``_words``: lower-cased words of two characters or more."""
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     plain = strip_accents(text) if accents else text
-    out = df.withColumn("_words", F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)))
+    return df.withColumn("_words", F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)))
+
+
+def with_terms(
+    df: DataFrame, ngrams: tuple[int, int] = (1, 3), only: Sequence[str] | None = None
+) -> DataFrame:
+    """Replace ``_words`` by ``_terms``, their n-grams; with ``only``, the n-grams
+    made of those words alone (a null word makes every n-gram with it null)."""
+    out = df
+    if only is not None:
+        # as one SQL text: words hold no quotes, and a hash set tests them
+        names = ",".join(f"'{w}'" for w in only)
+        out = out.withColumn("_words", F.expr(f"transform(_words, w -> CASE WHEN w IN ({names}) THEN w END)"))
+    out = out.withColumn("_g1", F.col("_words"))
+    for n in range(2, ngrams[1] + 1):
+        after = F.slice("_words", F.lit(n), F.greatest(F.size("_words"), F.lit(0)))
+        out = out.withColumn(
+            f"_g{n}", F.zip_with(f"_g{n - 1}", after, lambda a, b: F.concat(a, F.lit(" "), b))
+        )
     sizes = range(ngrams[0], ngrams[1] + 1)
-    for n in sizes:
-        out = NGram(n=n, inputCol="_words", outputCol=f"_grams{n}").transform(out)
-    names = [f"_grams{n}" for n in sizes]
-    return out.withColumn("_terms", F.concat(*names)).drop("_words", *names)
+    terms = F.array_compact(F.concat(*[f"_g{n}" for n in sizes]))
+    return out.withColumn("_terms", terms).drop("_words", *[f"_g{n}" for n in range(1, ngrams[1] + 1)])
+
+
+def frequent_words(words: DataFrame, max_features: int) -> list[str] | None:
+    """Words that terms of the vocabulary can consist of, or None for all.
+
+    An n-gram is no more frequent than any of its words.  With at least
+    ``max_features`` words in the corpus, the vocabulary's last count is at least
+    that of the word at this rank, so rarer words occur in none of its terms.
+    The long tail of rare n-grams is then never built nor shuffled."""
+    counts = words.select(F.explode("_words").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.desc("n"), F.asc("term")).limit(2 * max_features).collect()
+    if len(top) < max_features:
+        return None
+    floor = top[max_features - 1]["n"]
+    if len(top) == 2 * max_features and top[-1]["n"] == floor:
+        return None  # too many ties at this count to list
+    return [r["term"] for r in top if r["n"] >= floor]
 
 
 def term_counts(terms: DataFrame) -> DataFrame:
@@ -54,7 +85,7 @@ class TfIdf:
 
     def transform(self, df: DataFrame, text_col: str = "prompt", out: str = "tfidf") -> DataFrame:
         """Add ``out``: struct(indices, weights), L2-normalised, no shuffle."""
-        terms = with_terms(df, text_col, self.ngrams, self.accents)
+        terms = with_terms(with_words(df, text_col, self.accents), self.ngrams)
         counted = CountVectorizerModel.from_vocabulary(list(self.vocabulary), "_terms", "_tf").transform(terms)
         parts = counted.withColumn("_s", F.unwrap_udt("_tf")).withColumn("_idf", literal_array(self.idf))
         raw = F.zip_with(
@@ -77,7 +108,9 @@ def fit_tfidf(
 ) -> TfIdf:
     """Vocabulary: the most frequent terms of the corpus (ties by term).
     idf = ln((1 + rows) / (1 + rows with the term)) + 1."""
-    terms = with_terms(df, text_col, ngrams, accents).select("_terms")
+    words = with_words(df, text_col, accents).select("_words")
+    only = frequent_words(words, max_features) if ngrams[0] == 1 and ngrams[1] > 1 else None
+    terms = with_terms(words, ngrams, only)
     top = term_counts(terms).orderBy(F.desc("corpus_count"), F.asc("term")).limit(max_features)
     vocabulary = sorted(r["term"] for r in top.collect())
     if not vocabulary:
@@ -131,9 +164,13 @@ def fit_tfidf_svm(
 ) -> TfIdfSvm:
     """Linear SVM with balanced class weights on TF-IDF rows."""
     model = fit_tfidf(train, text_col, max_features, ngrams)
-    rows = model.transform(train.select(text_col, "label"), text_col)
-    vectors = with_class_weight(rows, labels).select(
+    weighted = with_class_weight(train.select(text_col, "label"), labels)
+    vectors = model.transform(weighted, text_col).select(
         F.col("label").cast("double"), "weight", to_vector(F.col("tfidf"), len(model.vocabulary)).alias("features")
     )
-    svm = LinearSVC(maxIter=max_iter, regParam=reg, weightCol="weight", standardization=False).fit(vectors)
+    vectors.persist()
+    try:
+        svm = LinearSVC(maxIter=max_iter, regParam=reg, weightCol="weight", standardization=False).fit(vectors)
+    finally:
+        vectors.unpersist()
     return TfIdfSvm(model, svm.coefficients.toArray(), float(svm.intercept))

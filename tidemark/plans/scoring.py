@@ -20,6 +20,7 @@ from tidemark.operators.harmonise import split_valid
 from tidemark.operators.matrix import LinearScaler, PcaProjection, fit_pca, fit_standard
 from tidemark.operators.models import LinearClassifier, fit_text_classifier
 from tidemark.operators.quantiles import quantile_value
+from tidemark.session import materialise
 
 
 @dataclass(frozen=True)
@@ -52,9 +53,11 @@ def fit_scoring(
 ) -> ScoringModel:
     """Scale and reconstruct on benign rows, calibrate the threshold there, and
     fit the classifier on all of them (``prompt, label``)."""
-    served = text_features(labelled, "serve", rules=rules)
+    served = materialise(
+        text_features(labelled.select("prompt", "label"), "serve", rules=rules).select("label", *features)
+    )
     scaler = fit_standard(served.where("label = 0"), features)
-    scaled = scaled_features(labelled, features, scaler, rules)
+    scaled = scaler.apply(served).withColumn("x", F.array(*[F.col(c) for c in features]))
     benign = scaled.where("label = 0").select("x")
     coder = fit_pca(benign, "x", components)
     errors = reconstruct_linear(benign, coder).select(squared_error_mean(F.col("x"), F.col("xhat")).alias("e"))
