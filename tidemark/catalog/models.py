@@ -40,9 +40,8 @@ def _blocklist(spark, path):
 )
 def _hits(spark, path):
     found = blocklist.blocklist_hits(planted(spark, path).select("row_id", "prompt"))
-    return found.select("row_id", F.explode("hits").alias("hit")).groupBy("hit").agg(
-        F.count("*").alias("rows"), F.sum("row_id").alias("id_sum")
-    )
+    pairs = found.select("row_id", F.explode_outer("hits").alias("hit")).where("hit IS NOT NULL")
+    return pairs.groupBy("hit").agg(F.count("*").alias("rows"), F.sum("row_id").alias("id_sum"))
 
 
 # ---- tf-idf ------------------------------------------------------------

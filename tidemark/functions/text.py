@@ -54,7 +54,8 @@ def _without_marks(text: pd.Series) -> pd.Series:
 
 def nfkc(col: Column) -> Column:
     """NFKC form.  Rows that cannot change travel to Python as nulls."""
-    changes = F.when(col.rlike(f"[^{NFKC_STABLE}]"), col)
+    # the intersection settles ASCII characters with its first, cheap test
+    changes = F.when(col.rlike(rf"[\xa0-\x{{10ffff}}&&[^{NFKC_STABLE}]]"), col)
     return F.coalesce(_nfkc(changes), col)
 
 

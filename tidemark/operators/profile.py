@@ -150,8 +150,8 @@ def top_terms(
     the cut to the vocabulary is a top-k, not a sort."""
     stop = list(english_stop_words() if stop_words is None else stop_words)
     rows = df if label is None else df.where(F.col("label") == label)
-    terms = rows.select(F.explode(words(F.col(text_col))).alias("word"))
-    counts = terms.where(~F.col("word").isin(stop)).groupBy("word").agg(F.count("*").alias("count"))
+    terms = rows.select(F.explode_outer(words(F.col(text_col))).alias("word"))
+    counts = terms.where(F.col("word").isNotNull() & ~F.col("word").isin(stop)).groupBy("word").agg(F.count("*").alias("count"))
     ranked = [F.desc("count"), F.asc("word")]
     return counts.orderBy(*ranked).limit(vocabulary).orderBy(*ranked).limit(k)
 

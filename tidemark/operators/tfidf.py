@@ -60,7 +60,7 @@ def frequent_words(words: DataFrame, max_features: int) -> list[str] | None:
     ``max_features`` words in the corpus, the vocabulary's last count is at least
     that of the word at this rank, so rarer words occur in none of its terms.
     The long tail of rare n-grams is then never built nor shuffled."""
-    counts = words.select(F.explode("_words").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    counts = exploded(words, "_words").groupBy("term").agg(F.count("*").alias("n"))
     top = counts.orderBy(F.desc("n"), F.asc("term")).limit(2 * max_features).collect()
     if len(top) < max_features:
         return None
@@ -70,10 +70,14 @@ def frequent_words(words: DataFrame, max_features: int) -> list[str] | None:
     return [r["term"] for r in top if r["n"] >= floor]
 
 
+def exploded(df: DataFrame, col: str) -> DataFrame:
+    """One ``term`` per row.  The outer form keeps Spark from inferring a size
+    filter, which would be pushed down and compute the array a second time."""
+    return df.select(F.explode_outer(col).alias("term")).where(F.col("term").isNotNull())
+
+
 def term_counts(terms: DataFrame) -> DataFrame:
-    return terms.select(F.explode("_terms").alias("term")).groupBy("term").agg(
-        F.count("*").alias("corpus_count")
-    )
+    return exploded(terms, "_terms").groupBy("term").agg(F.count("*").alias("corpus_count"))
 
 
 @dataclass(frozen=True)
@@ -125,8 +129,8 @@ def tfidf_terms(df: DataFrame, model: TfIdf, id_col: str, text_col: str = "promp
     """Long form: (id, term, weight)."""
     names = F.split(F.lit("\x1f".join(model.vocabulary)), "\x1f")
     rows = model.transform(df.select(id_col, text_col), text_col).select(
-        id_col, F.explode(F.arrays_zip("tfidf.indices", "tfidf.weights")).alias("e")
-    )
+        id_col, F.explode_outer(F.arrays_zip("tfidf.indices", "tfidf.weights")).alias("e")
+    ).where("e IS NOT NULL")
     return rows.withColumn("_v", names).select(
         id_col, F.get("_v", F.col("e.indices")).alias("term"), F.col("e.weights").alias("weight")
     )
