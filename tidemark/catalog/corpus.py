@@ -12,6 +12,7 @@ from tidemark.catalog.tables import (
 from tidemark.functions.text import normalize_clean
 from tidemark.operators import build, clean, harmonise
 from tidemark.operators.harmonise import label_name
+from tidemark.operators.sampling import sample_exact
 from tidemark.session import scratch_path
 from tidemark.sources import readers, writers
 
@@ -409,8 +410,6 @@ def _benign(spark, path):
 WHERE rn <= 500""",
 )
 def _cap(spark, path):
-    from tidemark.operators.sampling import sample_exact
-
     return sample_exact(table(spark, path, "documents").select("doc_id"), "doc_id", 500)
 
 
@@ -441,3 +440,13 @@ def _build(spark, path):
 )
 def _encoding(spark, path):
     return rounded(build.encode_sources(planted(spark, path).select("row_id", "source_dataset")))
+
+
+@query(
+    "assign_row_id",
+    f"""WITH {MERGED} SELECT source_dataset, md5(concat_ws(chr(31), prompt, label, source_dataset)) AS row_id
+FROM merged WHERE prompt IS NOT NULL""",
+)
+def _row_id(spark, path):
+    rows = build.assign_row_id(merged(spark, path), "prompt", "label", "source_dataset")
+    return rows.select("source_dataset", "row_id")

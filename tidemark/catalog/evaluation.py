@@ -6,11 +6,16 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.models import CLASSES, LOGITS, logits, planted_split
 from tidemark.catalog.registry import query
-from tidemark.catalog.tables import PLANTED, SCORED, planted, planted_labelled, rounded, scored_documents, table
+from tidemark.catalog.tables import PLANTED, SCORED, planted, planted_labelled, rounded, scored_documents, table, vectors
 from tidemark.functions.vectors import softmax
 from tidemark.operators import blocklist, decide, evaluate, tfidf
+from tidemark.operators.build import stratified_split
+from tidemark.operators.common import windowed
 from tidemark.plans.corpus import chat_prompts
 from tidemark.plans.scoring import fit_scoring, score_valid_prompts
+from tidemark.plans.selection import best_detector, candidate_scores, detector_board
+from tidemark.session import scratch_path
+from tidemark.sources import writers
 from tidemark.streaming.score import read_stream, score_available
 
 BY = ["method"]
@@ -96,6 +101,16 @@ def _multiclass(spark, path):
     return rounded(out.select("class", "support", "precision", "recall"))
 
 
+@query(
+    "metrics_round_trip",
+    f"""WITH {REPORT} SELECT method, CAST(class AS BIGINT) AS class, round(f1, 6) AS f1, support FROM report""",
+)
+def _metrics_file(spark, path):
+    target = scratch_path(spark, "metrics")
+    writers.write_metrics_json(evaluate.class_scores(scored(spark, path), BY), target)
+    return rounded(writers.read_json(spark, target).select("method", "class", "f1", "support"))
+
+
 # ---- curves ------------------------------------------------------------
 
 CURVE = SCORED + """, points AS (
@@ -254,8 +269,6 @@ def board(spark, path):
 )
 def _leaderboard(spark, path):
     ranked = evaluate.leaderboard(board(spark, path))
-    from tidemark.operators.common import windowed
-
     place = F.row_number().over(windowed([], F.desc("f1"), F.desc("recall"), F.desc("precision")))
     return rounded(ranked.withColumn("place", place))
 
@@ -419,6 +432,31 @@ def _rejects(spark, path):
     return halves(spark, path)[1]
 
 
+# ---- detector search ---------------------------------------------------
+
+
+def detector_scores(spark, path):
+    """Class 0 of the vectors is novel; the others are split into training and
+    validation rows."""
+    rows = stratified_split(vectors(spark, path), "vec_id", {"train": 0.6, "val": 0.4}, ["label"])
+    train = rows.where("split = 'train' AND label <> 0")
+    novel = (F.col("label") == 0).cast("int")
+    val = rows.where("split = 'val' OR label = 0").withColumn("label", novel)
+    forests = [{"trees": 20, "max_features": f, "bootstrap": b} for f in (0.8, 1.0) for b in (False, True)]
+    lofs = [{"k": k, "p": p} for k in (15, 25) for p in (1, 2)]
+    return candidate_scores(train, val, "vec_id", "embedding", forests, lofs)
+
+
+@query("detector_board")
+def _board(spark, path):
+    return rounded(detector_board(detector_scores(spark, path)))
+
+
+@query("best_detector")
+def _best(spark, path):
+    return rounded(best_detector(detector_board(detector_scores(spark, path))))
+
+
 # ---- end to end --------------------------------------------------------
 
 

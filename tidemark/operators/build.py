@@ -103,8 +103,10 @@ def label_shares(splits: DataFrame) -> DataFrame:
 
 
 def assign_row_id(df: DataFrame, *cols: str) -> DataFrame:
-    """Reproducible id from content; equal rows get equal ids."""
-    return df.withColumn("row_id", F.xxhash64(*(cols or df.columns)))
+    """Reproducible id from content; equal rows get equal ids.  128 bits, since
+    64 would collide at a trillion rows."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (cols or df.columns)]
+    return df.withColumn("row_id", F.md5(F.concat_ws("\x1f", *parts)))
 
 
 def encode_sources(df: DataFrame, col: str = "source_dataset") -> DataFrame:

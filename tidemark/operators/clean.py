@@ -82,10 +82,13 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
 
 
 def label_conflicts(df: DataFrame, text_col: str = "prompt") -> DataFrame:
-    """Texts that carry more than one distinct label, with the number of labels."""
-    pairs = df.where(F.col("label").isNotNull()).groupBy(text_col, "label").agg(F.count("*").alias("_n"))
-    labels = pairs.groupBy(text_col).agg(F.count("*").alias("n_unique_labels"))
-    return labels.where(F.col("n_unique_labels") > 1)
+    """Texts that carry more than one distinct label, with the number of labels.
+
+    Digests tell which texts conflict; only those texts are grouped in full."""
+    keyed = df.withColumn("_digest", content_digest(F.col(text_col)))
+    rows = null_safe_join(keyed, found_conflicts(df, text_col), ["_digest"], "left_semi")
+    pairs = rows.groupBy(text_col, "label").agg(F.count("*").alias("_n"))
+    return pairs.groupBy(text_col).agg(F.count("label").alias("n_unique_labels"))
 
 
 def conflict_digests(df: DataFrame, text_col: str = "prompt") -> DataFrame:
