@@ -148,3 +148,9 @@ def test_files(spark, tmp_path):
     assert readers.load_split(spark, str(tmp_path / "s"), "train").count() == 1
     both = readers.read_many(spark, {"a": path, "b": path})
     assert both.groupBy("split").count().count() == 2
+
+
+def test_row_ids_follow_content(spark):
+    df = spark.createDataFrame([("a", None), (None, "a"), ("a", None)], "x string, y string")
+    ids = [r["row_id"] for r in build.assign_row_id(df).collect()]
+    assert ids[0] == ids[2] != ids[1]

@@ -11,6 +11,7 @@ from tidemark.operators import anomaly, blocklist, decide, evaluate, forest, mat
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.plans.corpus import chat_prompts, engineered_columns
 from tidemark.plans.scoring import fit_scoring, score_valid_prompts
+from tidemark.plans.selection import FOREST_GRID, LOF_GRID, best_detector, candidate_scores, detector_board, grid
 from tidemark.catalog.tables import planted_labelled, vectors
 from tidemark.streaming.score import read_stream, score_available
 
@@ -275,3 +276,14 @@ def test_engineered_layout(spark, small):
     assert len(engineered_columns()) == 74
     assert len(TRAIN_FEATURES) == 35
     assert vectors(spark, small).count() > 0
+
+
+def test_detector_search(spark):
+    df, *_ = cloud(spark)
+    val = df.withColumn("label", (F.col("id") == 0).cast("int"))
+    scores = candidate_scores(df, val, "id", "features", [{"trees": 10}], [{"k": 10}, {"k": 10}])
+    board = detector_board(scores).orderBy("run").collect()
+    assert [r["roc_auc"] for r in board] == [1.0, 1.0, 1.0]
+    assert len(grid(FOREST_GRID)) == 48 and len(grid(LOF_GRID)) == 18
+    # equal runs: the first one wins
+    assert best_detector(detector_board(scores)).first()["run"] == 0
