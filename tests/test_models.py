@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.features import TRAIN_FEATURES
 from tidemark.operators import anomaly, blocklist, decide, evaluate, forest, matrix, models, neighbours, tfidf
+from tidemark.operators.profile import describe
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.plans.corpus import chat_prompts, engineered_columns
 from tidemark.plans.scoring import fit_scoring, score_valid_prompts
@@ -287,3 +288,17 @@ def test_detector_search(spark):
     assert len(grid(FOREST_GRID)) == 48 and len(grid(LOF_GRID)) == 18
     # equal runs: the first one wins
     assert best_detector(detector_board(scores)).first()["run"] == 0
+
+
+def test_trees_own_their_rows_when_rows_abound(spark):
+    df = spark.range(2000).select("id", F.array(F.rand(1), F.rand(2)).alias("features"))
+    picked = forest.tree_samples(df, "id", "features", 2000, 4, 16, 42).collect()
+    assert len(picked) == 64 and len({r["_id"] for r in picked}) == 64
+    assert all(sum(r["tree"] == t for r in picked) == 16 for t in range(4))
+
+
+def test_describe_with_searched_quartiles(spark):
+    df = spark.range(101).selectExpr("double(id) AS x", "CASE WHEN id < 3 THEN 'b' ELSE 'a' END AS g")
+    one = describe(df, ["x"], ["g"], bounded=True).orderBy("g").collect()
+    two = describe(df, ["x"], ["g"], bounded=False).orderBy("g").collect()
+    assert one == two and one[1]["q50"] == 1.0
