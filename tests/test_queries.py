@@ -1,5 +1,11 @@
 """Every registered query against its SQL, and rows from those without SQL."""
 
+import glob
+import os
+import subprocess
+import sys
+
+import pyspark
 import pytest
 from oracle import compare, connect
 
@@ -30,3 +36,20 @@ def test_entry_has_rows(spark):
 
 def test_sql_only_for_queries():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_entry_imports_without_session_or_files():
+    """As a driver imports it: PySpark from its zip, no session, no JVM."""
+    lib = os.path.join(os.path.dirname(pyspark.__file__), "python", "lib")
+    paths = glob.glob(f"{lib}/*.zip")
+    if not paths:
+        pytest.skip("this PySpark has no zip")
+    code = (
+        "import __spark_entry__ as e, pyspark; from pyspark import SparkContext;"
+        "assert '.zip' in pyspark.__file__, pyspark.__file__;"
+        "assert e.queries() and set(e.oracle_sql()) <= set(e.queries());"
+        "assert SparkContext._active_spark_context is None"
+    )
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(paths)}
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    subprocess.run([sys.executable, "-c", code], cwd=root, env=env, check=True, timeout=120)

@@ -155,6 +155,7 @@ def test_special_tokens_and_rules(spark, tmp_path):
     path.write_text('{"payload_phrases": [" One ", ""], "roleplay_phrases": "no list"}')
     rules = load_phrase_rules(spark, str(path))
     assert rules["payload_request"] == ["one"] and rules["roleplay"] == []
+    assert not any(load_phrase_rules(spark, str(tmp_path / "absent.json")).values())
     assert text_features(df, "serve", rules=rules).first()["payload_request_score"] == 1.0
     with pytest.raises(ValueError):
         text_features(df, "other")

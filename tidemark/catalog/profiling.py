@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-from functools import cache
-
-import pyspark
 from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import query
 from tidemark.catalog.tables import MERGED, PROMPTS, merged, prompts, quoted, rounded, table
 from tidemark.functions.features import add_word_count
+from tidemark.functions.stopwords import ENGLISH
 from tidemark.operators import profile
 
 SCORE_BINS = 20
 
 
-@cache
-def stop_words() -> tuple[str, ...]:
-    """Spark's own English list, read from its jar: needs no running session."""
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if not jar:
-        return tuple(profile.english_stop_words())
-    with zipfile.ZipFile(jar[0]) as archive:
-        text = archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
-    return tuple(w for w in text.split("\n") if w)
-
-
 @query("label_distribution", f'WITH {MERGED} SELECT label, count(*) AS "count" FROM merged GROUP BY label')
 def _labels(spark, path):
     return profile.label_distribution(merged(spark, path))
@@ -155,11 +139,11 @@ def _boxplot(spark, path):
     "top_terms",
     rf"""WITH {PROMPTS}, w AS (SELECT unnest(regexp_extract_all(lower(prompt), '[\p{{L}}\p{{N}}_]{{2,}}')) AS word
   FROM prompts WHERE label = 1)
-SELECT word, count(*) AS "count" FROM w WHERE word NOT IN ({", ".join(quoted(w) for w in stop_words())})
+SELECT word, count(*) AS "count" FROM w WHERE word NOT IN ({", ".join(quoted(w) for w in ENGLISH)})
 GROUP BY word ORDER BY 2 DESC, 1 LIMIT 20""",
 )
 def _top_terms(spark, path):
-    return profile.top_terms(prompts(spark, path), stop_words=stop_words())
+    return profile.top_terms(prompts(spark, path), stop_words=ENGLISH)
 
 
 @query(

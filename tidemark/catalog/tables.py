@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.harmonise import SourceConfig, merge_sources
-from tidemark.sources.readers import read_balanced
 
 # The tables carry no attack wording; every document gets one of these endings.
 ENDINGS = (
@@ -25,13 +24,8 @@ ENDINGS = (
 )
 
 
-KEYS = {"documents": "doc_id", "conversations": "conv_id", "embeddings": "vec_id"}
-
-
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Tables with costly columns are spread over the cores when small."""
-    file = f"{path}/{name}.parquet"
-    return read_balanced(spark, file, KEYS[name]) if name in KEYS else spark.read.parquet(file)
+    return spark.read.parquet(f"{path}/{name}.parquet")
 
 
 def prompts(spark: SparkSession, path: str) -> DataFrame:
@@ -155,7 +149,7 @@ def scored_documents(spark: SparkSession, path: str) -> DataFrame:
     methods = {
         "punctuation": (share(r"\p{Punct}+"), 0.03),
         "whitespace": (share(r"\s+"), 0.16),
-        "length": (F.round(F.least(size, F.lit(10000.0)) / F.lit(10000.0), 6), 0.2),
+        "length": (F.round(size / (size + F.lit(8000.0)), 6), 0.2),
     }
     entries = [
         F.struct(F.lit(m).alias("method"), s.alias("score"), (s >= F.lit(t)).cast("int").alias("pred"))
@@ -177,8 +171,8 @@ SCORED = PROMPTS + r""", measured AS (
   SELECT 'whitespace', row_id, label, round(w / n, 6),
          CASE WHEN round(w / n, 6) >= CAST(0.16 AS DOUBLE) THEN 1 ELSE 0 END FROM measured
   UNION ALL
-  SELECT 'length', row_id, label, round(least(n, 10000.0::DOUBLE) / 10000.0::DOUBLE, 6),
-         CASE WHEN round(least(n, 10000.0::DOUBLE) / 10000.0::DOUBLE, 6) >= CAST(0.2 AS DOUBLE) THEN 1 ELSE 0 END
+  SELECT 'length', row_id, label, round(n / (n + 8000.0::DOUBLE), 6),
+         CASE WHEN round(n / (n + 8000.0::DOUBLE), 6) >= CAST(0.2 AS DOUBLE) THEN 1 ELSE 0 END
   FROM measured)"""
 
 

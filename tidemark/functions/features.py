@@ -6,10 +6,10 @@ types); see ``feature_skew`` for a report of where they disagree.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,14 +62,21 @@ BRACKETS = {"train": r"[()\[\]{}]", "serve": r"[()\[\]{}<>]"}
 
 
 def load_phrase_rules(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Phrase groups from a JSON file; trimmed, lower-cased, blanks dropped."""
-    loaded = json.loads(spark.read.text(path, wholetext=True).first()[0])
-    rules = {}
-    for group, key in PHRASE_FILE_KEYS.items():
-        value = loaded.get(key, [])
-        phrases = value if isinstance(value, list) else []
-        rules[group] = [str(v).strip().lower() for v in phrases if str(v).strip()]
-    return rules
+    """Phrase groups of a JSON object of lists, read and tidied by Spark: trimmed,
+    lower-cased, blanks dropped.  A missing file, key or list gives an empty group (score 0)."""
+    empty: dict[str, list[str]] = {group: [] for group in PHRASE_FILE_KEYS}
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return empty
+    keys = {key: group for group, key in PHRASE_FILE_KEYS.items()}
+    lists = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
+    phrases = F.from_json("value", "array<string>")
+    tidy = F.filter(F.transform(phrases, lambda p: F.lower(F.trim(p))), lambda p: p != "")
+    found = lists.where(F.col("key").isin(*keys)).select("key", tidy.alias("phrases")).collect()
+    return empty | {keys[r["key"]]: r["phrases"] for r in found if r["phrases"] is not None}
 
 
 def count_matches(col: Column, pattern: str) -> Column:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.rules import EXPLORER_TEXT_NAMES
+from tidemark.functions.stopwords import ENGLISH
 from tidemark.operators.common import null_safe_join, small_table, windowed
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.sampling import sample_exact
@@ -134,21 +134,17 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def english_stop_words() -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords("english")
-
-
 def top_terms(
     df: DataFrame,
     label: int | None = 1,
     k: int = 20,
     vocabulary: int = 1000,
-    stop_words: Sequence[str] | None = None,
+    stop_words: Sequence[str] = ENGLISH,
     text_col: str = "prompt",
 ) -> DataFrame:
     """Most frequent words of a class.  Counting pre-aggregates per task, and
     the cut to the vocabulary is a top-k, not a sort."""
-    stop = list(english_stop_words() if stop_words is None else stop_words)
+    stop = list(stop_words)
     rows = df if label is None else df.where(F.col("label") == label)
     terms = rows.select(F.explode_outer(words(F.col(text_col))).alias("word"))
     counts = terms.where(F.col("word").isNotNull() & ~F.col("word").isin(stop)).groupBy("word").agg(F.count("*").alias("count"))

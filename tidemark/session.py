@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,14 +33,24 @@ def local_session(cpus: str = "8", partitions: int = 8, memory: str = "12g") ->
     return spark
 
 
+@cache
+def local_folder() -> str:
+    """One temporary folder per driver process, removed at its end."""
+    folder = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by the session; a temporary one only where none is set."""
-    root = spark.conf.get(CHECKPOINT_CONF, None)
+    """Shared folder named by the session in ``spark.checkpoint.dir``.  Without the
+    setting a temporary folder serves a local session; a cluster, whose executors
+    could not see it, is refused.  The owner of the shared folder empties it."""
     context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if root is None:
-        root = context.getCheckpointDir()
-    if root is None:
-        root = tempfile.mkdtemp(prefix="tidemark-")
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
+        root = local_folder()
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root

@@ -24,34 +24,21 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
-SMALL_BYTES = 128 * 1024 * 1024  # per core: Spark's own split size
-
-
-def read_balanced(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Parquet whose rows are spread over the cores if the files are too few and
-    small to be split; a table of more than one split per core is left as it is.
-
-    File lengths come from the listing, no data is read for them.  Hashing by
-    ``key`` lets a later join on it reuse the partitioning."""
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
-    return df.repartition(cores, key) if size < cores * SMALL_BYTES else df
-
-
 def read_jsonl(spark: SparkSession, path, schema: StructType | str | None = None) -> DataFrame:
     return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
+FORMATS = {"csv": read_csv, "jsonl": read_jsonl, "ndjson": read_jsonl}
+
+
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    suffix = os.path.splitext(str(path).rstrip("/"))[1].lower()
-    if suffix == ".csv":
-        return read_csv(spark, path, schema)
-    if suffix in (".jsonl", ".ndjson"):
-        return read_jsonl(spark, path, schema)
-    if suffix == ".parquet":
+    """Reader by the ending of the path: ``FORMATS`` or parquet."""
+    ending = os.path.basename(str(path).rstrip("/")).rpartition(".")[2].lower()
+    if ending == "parquet":
         return read_parquet(spark, path)
-    raise ValueError(f"Unsupported input format: {suffix or path}. Use CSV, JSONL or Parquet.")
+    if ending not in FORMATS:
+        raise ValueError(f"{path}: no reader for this ending, known are {sorted([*FORMATS, 'parquet'])}")
+    return FORMATS[ending](spark, path, schema)
 
 
 def read_many(spark: SparkSession, paths: Mapping[str, str] | Sequence[str]) -> DataFrame:
