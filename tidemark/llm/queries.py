@@ -6,8 +6,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import minhash
+from tidemark.llm import line_dedup, minhash, sentencepiece_codec, token_output, topk
+
+PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +30,38 @@ def read(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query("op2_minhash_near_dedup")
 def _near(spark, path):
     return minhash.near_duplicates(read(spark, path, "documents"))
+
+
+@query("op3_line_dedup", line_dedup.SQL)
+def _lines(spark, path):
+    return line_dedup.drop_boilerplate_lines(read(spark, path, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@query("op5_exact_top_k", topk.sql())
+def _top(spark, path):
+    vectors = read(spark, path, "embeddings").select("vec_id", topk.integer_weights(F.col("embedding")).alias("weights"))
+    return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, "vec_id", "weights")
+
+
+@query("op6_sentencepiece")
+def _pieces(spark, path):
+    coded = sentencepiece_codec.encode_decode(read(spark, path, "documents").select("doc_id", "text"), vocabulary(PIECE_MODEL))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op8_token_output")
+def _tokens(spark, path):
+    docs = read(spark, path, "documents").select("doc_id", "text")
+    shards = token_output.write_shards(docs, vocabulary(WORD_MODEL), end_id=1)
+    index, parts = token_output.build_index(spark, shards)
+    found = token_output.lookup(docs.select("doc_id").distinct(), index, parts)
+    return token_output.document_checksums(token_output.read_documents(found, shards), token_output.directory(spark, shards))
