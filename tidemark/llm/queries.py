@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, minhash, sentencepiece_codec, token_output, topk
+from tidemark.llm import decontaminate, line_dedup, minhash, secrets_scan, sentencepiece_codec, token_output, topk
 
 PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
 
@@ -65,3 +65,15 @@ def _tokens(spark, path):
     index, parts = token_output.build_index(spark, shards)
     found = token_output.lookup(docs.select("doc_id").distinct(), index, parts)
     return token_output.document_checksums(token_output.read_documents(found, shards), token_output.directory(spark, shards))
+
+
+@query("op7_secret_scans")
+def _secrets(spark, path):
+    return secrets_scan.digest(secrets_scan.find_secrets(read(spark, path, "documents")))
+
+
+@query("op9_benchmark_decontamination", decontaminate.SQL)
+def _leaks(spark, path):
+    found = decontaminate.contamination(read(spark, path, "documents"), read(spark, path, "benchmark"))
+    listed = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", listed, "contaminated")
