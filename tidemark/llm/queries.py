@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, minhash, secrets_scan, sentencepiece_codec, token_output, topk
+from tidemark.llm import cotrain, decontaminate, line_dedup, minhash, secrets_scan, sentencepiece_codec, token_output, topk
 
 PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
 
@@ -77,3 +77,10 @@ def _leaks(spark, path):
     found = decontaminate.contamination(read(spark, path, "documents"), read(spark, path, "benchmark"))
     listed = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", "n_items", listed, "contaminated")
+
+
+@query("op4_quality_classifier")
+def _quality(spark, path):
+    docs = read(spark, path, "documents")
+    model = cotrain.fit(docs, read(spark, path, "labels"))
+    return cotrain.score(docs, model, ["doc_id"])
