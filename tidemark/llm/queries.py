@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cotrain, decontaminate, line_dedup, minhash, secrets_scan, sentencepiece_codec, token_output, topk
+from tidemark.llm import chain_dedup, cotrain, decontaminate, line_dedup, minhash, secrets_scan, sentencepiece_codec, suffix_dedup, token_output, topk
 
 PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
 
@@ -84,3 +84,13 @@ def _quality(spark, path):
     docs = read(spark, path, "documents")
     model = cotrain.fit(docs, read(spark, path, "labels"))
     return cotrain.score(docs, model, ["doc_id"])
+
+
+@query("op1_suffix_array_dedup")
+def _passages(spark, path):
+    return suffix_dedup.passage_summary(read(spark, path, "documents"))
+
+
+@query("op10_substring_dedup")
+def _fuzzy(spark, path):
+    return chain_dedup.fuzzy_summary(read(spark, path, "documents"))
