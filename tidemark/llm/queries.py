@@ -94,3 +94,10 @@ def _passages(spark, path):
 @query("op10_substring_dedup")
 def _fuzzy(spark, path):
     return chain_dedup.fuzzy_summary(read(spark, path, "documents"))
+
+
+@query("pipeline")
+def _pipeline(spark, path):
+    import corpus_pipeline  # beside the package; it uses this module
+
+    return corpus_pipeline.run(spark, path)
