@@ -7,8 +7,8 @@ become byte pieces.  No piece holds the space mark after another character, so a
 text is encoded by its stretches "space marks, then other characters": each
 distinct stretch goes through the agenda once per worker, in a memory of two
 generations of at most ``CACHE`` stretches.  Every stretch that enters the memory
-is also encoded and decoded by the sentencepiece library, batch by batch; a
-difference stops the job.
+is also encoded by the sentencepiece library, batch by batch; a difference stops
+the job.  The library decodes the ids of each batch.
 
 The model travels to the tasks as bytes; its size is that of the vocabulary.
 """
@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import sentencepiece
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import worker_cache
 
 MARK = "▁"
-CACHE = 250_000
+CACHE = 500_000
+SHORT, NEVER = 48, 1 << 60
 
 
 class Codec:
@@ -37,11 +39,11 @@ class Codec:
         ids = range(lib.get_piece_size())
         normal = [i for i in ids if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))]
         self.piece = {i: lib.id_to_piece(i) for i in ids}
+        self.told = [str(i) for i in ids]
         self.id = {self.piece[i]: i for i in normal}
         level = {s: r for r, s in enumerate(sorted({lib.get_score(i) for i in normal}, reverse=True))}
         self.level = {self.piece[i]: level[lib.get_score(i)] for i in normal}
         self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.byte_of = {i: b for b, i in enumerate(self.bytes)}
         if not all(lib.is_byte(i) for i in self.bytes):
             raise ValueError("the model has no byte pieces")
         if any(MARK in p.lstrip(MARK) for p in self.id) or lib.decode(lib.encode("  x  \ufb01 ")) != "  x  \ufb01 ":
@@ -51,6 +53,35 @@ class Codec:
 
     def merged(self, text: str) -> list[int]:
         """Ids of a stretch whose spaces are marks."""
+        symbols = self.merged_short(text) if len(text) <= SHORT else self.merged_long(text)
+        out: list[int] = []
+        for s in symbols:
+            found = self.id.get(s)
+            if found is None:
+                out.extend(self.bytes[b] for b in s.encode())
+            else:
+                out.append(found)
+        return out
+
+    def merged_short(self, text: str) -> list[str]:
+        """The agenda as a list beside the symbols: its least entry, the leftmost of
+        equal ones, is found by two scans, which for few symbols beats a heap."""
+        symbols, get = list(text), self.level.get
+        agenda = [get(x + y, NEVER) for x, y in zip(text, text[1:])]
+        while agenda:
+            least = min(agenda)
+            if least == NEVER:
+                break
+            i = agenda.index(least)
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + symbols[i], NEVER)
+            if i < len(agenda):
+                agenda[i] = get(symbols[i] + symbols[i + 1], NEVER)
+        return symbols
+
+    def merged_long(self, text: str) -> list[str]:
         symbols, n = list(text), len(text)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         level, agenda = self.level, []
@@ -76,74 +107,53 @@ class Codec:
                 r = level.get(symbols[k] + piece)
                 if r is not None:
                     heapq.heappush(agenda, (r, k, symbols[k] + piece))
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                found = self.id.get(s)
-                if found is None:
-                    out.extend(self.bytes[b] for b in s.encode())
-                else:
-                    out.append(found)
-        return out
+        return [s for s in symbols if s]
 
     def parts(self, text: str) -> list[str]:
         """``text`` cut between characters that are neighbours in no piece."""
-        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.joined]
-        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])] if cuts else [text]
-
-    def spelled(self, ids: list[int]) -> str:
-        """Text of the ids of whole characters, marks as spaces."""
-        out, run = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                run.append(self.byte_of[i])
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            out.append(self.piece[i].replace(MARK, " "))
-        return "".join(out) + run.decode("utf-8", "replace")
+        joined = self.joined
+        inner = [x + y in joined for x, y in zip(text, text[1:])]
+        if all(inner):
+            return [text]
+        cuts = [i for i, one in enumerate(inner, 1) if not one]
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
 
 
 class Memory(dict):
-    """Stretch -> its ids as text, each behind a space; ``back`` has the spelled text."""
+    """Stretch, or part of one, -> its ids."""
 
     def __init__(self, codec: Codec) -> None:
         super().__init__()
-        self.codec, self.back, self.fresh, self.parts = codec, {}, [], {}
-        self.old: tuple[dict, dict] = ({}, {})
-
-    def __missing__(self, text: str) -> str:
-        if text in self.old[0]:
-            self[text], self.back[text] = self.old[0][text], self.old[1][text]
-            return self[text]
-        ids, value = [], ""
-        for part in self.codec.parts(text):
-            found = self.parts.get(part)
-            if found is None:
-                found = self.codec.merged(part)
-                self.parts[part] = found
-            ids += found
-        value = self[text] = "".join([f" {i}" for i in ids])
-        self.back[text] = self.codec.spelled(ids)
-        self.fresh.append(text)
-        return value
+        self.codec, self.old, self.fresh = codec, {}, []
+
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        ids = self.old.get(text)
+        if ids is None:
+            parts = self.codec.parts(text)
+            ids = tuple(self.codec.merged(text)) if len(parts) == 1 else tuple(chain.from_iterable(map(self.part, parts)))
+            if text != MARK:  # of which the library makes nothing
+                self.fresh.append(text)
+        self[text] = ids
+        return ids
+
+    def part(self, text: str) -> tuple[int, ...]:
+        ids = self.get(text)
+        if ids is None:
+            ids = self[text] = tuple(self.codec.merged(text))
+        return ids
 
     def check(self) -> None:
         """The library's view of the stretches that are new since the last call."""
-        fresh = [t for t in self.fresh if t != MARK]  # the library makes nothing of an empty text
-        plain = [t[1:].replace(MARK, " ") for t in fresh]  # the library puts the first mark
-        found = self.codec.library.encode(plain, num_threads=1)
-        for text, whole, ids, back in zip(fresh, plain, found, self.codec.library.decode(found) if found else []):
-            if self.get(text) != "".join([f" {i}" for i in ids]) or self.back[text] != " " + back or back != whole:
+        if self.fresh:
+            plain = [t[1:].replace(MARK, " ") for t in self.fresh]  # the library puts the first mark
+            found = list(map(tuple, self.codec.library.encode(plain, num_threads=1)))
+            if found != [self[t] for t in self.fresh]:
+                text = next(t for t, ids in zip(self.fresh, found) if self[t] != ids)
                 raise ValueError(f"encoding differs from the library's for {text!r}")
-        self.fresh.clear()
+            self.fresh.clear()
         if len(self) > CACHE:
-            self.old = (dict(self), self.back)
+            self.old = dict(self)
             self.clear()
-            self.back = {}
-        if len(self.parts) > CACHE:
-            self.parts.clear()
 
 
 STRETCH = re.compile(f"{MARK}+[^{MARK}]*")
@@ -175,18 +185,22 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", add_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = worker_cache(key, lambda: Memory(Codec(model)))
-        end = f" {memory.codec.end}" if add_end else ""
+        codec = memory.codec
+        told, end = codec.told, [codec.end] if add_end else []
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids, decoded = [], []
-                for text in part.column(part.num_columns - 1).to_pylist():
-                    parts = stretches(text or "")
-                    ids.append("".join(map(memory.__getitem__, parts)) + end)
-                    decoded.append("".join(map(memory.back.__getitem__, parts))[1:])
+                texts = part.column(part.num_columns - 1).to_pylist()
+                ids = [list(chain.from_iterable(map(memory.__getitem__, stretches(x or "")))) for x in texts]
                 memory.check()
-                counts = pa.array([t.count(" ") for t in ids], pa.int64())
-                more = [pa.array([t[1:] for t in ids], pa.string()), counts, pa.array(decoded, pa.string())]
+                decoded = codec.library.decode(ids, num_threads=1)
+                for x in ids:
+                    x += end
+                more = [
+                    pa.array([" ".join(map(told.__getitem__, x)) for x in ids], pa.string()),
+                    pa.array(list(map(len, ids)), pa.int64()),
+                    pa.array(decoded, pa.string()),
+                ]
                 yield pa.RecordBatch.from_arrays(part.columns[:-1] + more, part.schema.names[:-1] + list(results))
 
     schema = kept.add("ids", "string").add("n_tokens", "long").add("decoded", "string")
