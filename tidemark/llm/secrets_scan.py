@@ -28,7 +28,7 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 
 ALPHABET = 128
-SAMPLE, RATIO, SMOOTH = 4_000, 1.0, 0.5
+SAMPLE, RATIO, SMOOTH = 4_000, 0.5, 0.5
 
 
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"

@@ -33,7 +33,7 @@ def accumulate(queries: list[np.ndarray], candidates: list[np.ndarray]) -> np.nd
     scores = np.zeros((len(queries), len(candidates)), np.int64)
 
     def postings(rows: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        size = np.array([len(r) for r in rows])
+        size = np.array([len(r) for r in rows], np.int64)
         owner = np.repeat(np.arange(len(rows)), size)
         term = np.concatenate([np.arange(n) for n in size]) if len(rows) else np.zeros(0, int)
         weight = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
