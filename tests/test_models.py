@@ -215,8 +215,21 @@ def test_lof_against_brute_force(spark, p):
     want = (density[near] / density[:, None]).mean(1)
     assert [r["lof"] for r in factors.orderBy("id").collect()] == pytest.approx(list(want))
     assert model.score(df).orderBy(F.desc("lof_score")).first()["id"] == 0
-    capped, rows = neighbours.fit_lof(df, "id", k=10, p=p, cap=50)
-    assert len(capped.train) == 50 and rows.count() == 50
+    assert "Scan" in factors._jdf.queryExecution().toString()
+
+
+def test_neighbours_in_many_blocks(spark, monkeypatch):
+    """Every row of several blocks and pivots has its exact neighbours."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40)
+    df, x, _ = cloud(spark, 700)
+    rows = df.select(F.col("id").cast("long").alias("id"), F.col("features").alias("x"))
+    made = neighbours.blocks(rows, 2)
+    assert made.reach.count() > len(made.pivots) > 1
+    found = made.search(rows.select(F.col("id").alias("row"), "x"), 5, True).collect()
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(dist, np.inf)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.argsort(dist[i], kind="stable")[:5]}
+    assert {(r["row"], r["near"]) for r in found} == want
 
 
 def test_quantile_scaler(spark):

@@ -467,7 +467,7 @@ def scoring_model(spark, path):
 def compact(df):
     return df.select(
         "prompt_id", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomalous", "predicted_label",
-        F.round("confidence", 6).alias("confidence"), "final_label", F.size("reasons").alias("n_reasons"),
+        F.round("confidence", 6).alias("confidence"), "final_label", F.size("reasons").alias("n_reasons"), "reject_reason",
     )
 
 

@@ -91,8 +91,10 @@ def score_prompts(df: DataFrame, model: ScoringModel) -> DataFrame:
 
 
 def score_valid_prompts(df: DataFrame, model: ScoringModel) -> DataFrame:
-    """Reject over-long and missing prompts, score the rest."""
-    accepted, _ = split_valid(df)
-    return score_prompts(accepted, model)
-
-
+    """Every prompt once: valid ones scored, the others with null scores and the
+    reason in ``reject_reason`` (null for the scored)."""
+    accepted, rejected = split_valid(df)
+    scored = score_prompts(accepted, model).withColumn("reject_reason", F.lit(None).cast("string"))
+    size = F.length("prompt")
+    reason = F.when(size.isNull(), "missing").when(size < 1, "empty").otherwise("too long")
+    return scored.unionByName(rejected.withColumn("reject_reason", reason), allowMissingColumns=True)
