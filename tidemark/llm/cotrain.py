@@ -96,9 +96,9 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 150) -> Logistic:
     """L2-regularised logistic regression by accelerated gradient steps."""
-    mean, scale = x.mean(0), x.std(0)
+    mean, scale = x.mean(0, dtype=float), x.std(0, dtype=float)
     scale = np.where(scale > 1e-6, scale, 1.0)
-    z = ((x - mean) / scale).astype(np.float32)
+    z = (x - mean.astype(np.float32)) / scale.astype(np.float32)
     y = y.astype(np.float32)
     n = len(z)
     w, b = np.zeros(z.shape[1], np.float32), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
@@ -221,7 +221,7 @@ def sample_features(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str)
     for r in found.collect():
         if r["id"] not in out or (r["t"], r["m"]) < out[r["id"]]:
             out[r["id"]] = (bytes(r["t"]), bytes(r["m"]))
-    return {k: (np.frombuffer(t, "<f4").astype(float), np.frombuffer(m, "<f4").astype(float)) for k, (t, m) in out.items()}
+    return {k: (np.frombuffer(t, "<f4"), np.frombuffer(m, "<f4")) for k, (t, m) in out.items()}
 
 
 def fit(
@@ -245,7 +245,7 @@ def fit(
 
     def stacked(ids: list[int], k: int) -> np.ndarray:
         width = (256 + WORD_BUCKETS + STATS, LANGS + SOURCES + 2 + LAYOUT)[k]
-        return np.stack([features[i][k] for i in ids]) if ids else np.zeros((0, width))
+        return np.stack([features[i][k] for i in ids]) if ids else np.zeros((0, width), np.float32)
 
     y = np.array([r["y"] for r in rows], float)
     ids = [r["id"] for r in rows]
