@@ -33,7 +33,7 @@ def source_by_label(df: DataFrame, labels: Sequence[int] = (0, 1), col: str = "s
     return table.orderBy(F.desc("total"), F.asc(col))
 
 
-def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), bounded: bool = True) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), bounded: bool = False) -> DataFrame:
     """count, mean, sample std, min, quartiles, max per column (and group).
 
     ``bounded`` columns (text lengths) use ``percentile`` in the same pass;
