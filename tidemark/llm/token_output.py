@@ -39,11 +39,15 @@ from tidemark.session import scratch_path
 
 PART_KEYS = 50_000
 NULL_KEY = -(1 << 63)
-CACHE = 250_000
+CACHE = 500_000
 
 
 class Vocabulary:
-    """The tokenizers library, asked once for each distinct word."""
+    """The tokenizers library, asked once for each distinct run of letters, and for
+    each other distinct word."""
+
+    #: letters, then signs that are neither letters, digits, apostrophes nor part of a special token
+    LETTERS_SIGNS = re.compile(rb"([a-z]+)([!-&(-/:;=?-@\[-`{}~]+)")
 
     def __init__(self, text: str, width: int) -> None:
         from tokenizers import Tokenizer
@@ -52,33 +56,70 @@ class Vocabulary:
         self.kind = np.dtype("<u2" if width == 2 else "<u4")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        special = [t for t in json.loads(text)["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"])]
+        self.between = (special[0]["content"], special[0]["id"]) if special else None
+
+    def ask(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word: of all in one text, with a special token between them."""
+        if self.between is None:
+            return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        content, mark = self.between
+        text = b" ".join([w + f" {content}".encode() for w in words]).decode()
+        ids = np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
+        ends = np.flatnonzero(ids == mark)
+        raw, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
+        return [raw[a * size : b * size] for a, b in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist())]
+
+    def learn(self, new: list[bytes]) -> None:
+        young, old, ask, split = self.young, self.old, [], []
+        for w in new:
+            if w in old:
+                young[w] = old[w]
+            elif b"<|" in w:  # may hold a special token
+                young[w] = np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+            else:
+                parts = self.LETTERS_SIGNS.fullmatch(w)
+                if parts is None:
+                    ask.append(w)
+                else:
+                    split.append((w, *parts.groups()))
+        ask += {p for _, *both in split for p in both if p not in young}.difference(ask)
+        for at in range(0, len(ask), 5000):
+            part = ask[at : at + 5000]
+            young.update(zip(part, self.ask(part)))
+        for w, letters, signs in split:
+            young[w] = young[letters] + young[signs]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Raw ids of each text.  No token spans ASCII white space in the supported
-        tokenizers, so a text is the sequence of its words' ids."""
-        words = [t.split() for t in texts]
-        young, old = self.young, self.old
-        new = set().union(*words) - young.keys()
-        back = [w for w in new if w in old]
-        young.update(zip(back, map(old.__getitem__, back)))
-        ask = list(new.difference(back))
-        if ask:
-            found = self.library.encode_batch([w.decode() for w in ask], add_special_tokens=False)
-            young.update({w: np.array(e.ids, self.kind).tobytes() for w, e in zip(ask, found)})
-        out = [b"".join(map(young.__getitem__, ws)) for ws in words]
-        if len(young) > CACHE:
-            self.old, self.young = young, {}
+        """Raw ids of each text.  No token of the supported tokenizers spans ASCII white
+        space, nor a letter and a sign, and letters are lowered: a text is the
+        sequence of its words' ids, in lower case unless it may name a special token."""
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        found = [list(map(self.young.get, ws)) for ws in words]
+        gaps = [[i for i, raw in enumerate(f) if raw is None] if None in f else [] for f in found]
+        self.learn(list({ws[i] for ws, g in zip(words, gaps) for i in g}))
+        for ws, f, g in zip(words, found, gaps):
+            for i in g:
+                f[i] = self.young[ws[i]]
+        out = [b"".join(f) for f in found]
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
         return out
 
 
-def splits_at_space(tokenizer: str) -> bool:
-    """Whether the tokenizer drops white space before its model runs, and so gives
-    each word the same ids wherever it stands."""
+# Fixed value: the pattern of the supported pre-tokenizer.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_words(tokenizer: str) -> bool:
+    """Whether the tokenizer lowers letters, drops white space and parts letters from
+    signs before its model runs, and so gives each such run the same ids wherever it
+    stands."""
     found = json.loads(tokenizer)
     steps = found.get("pre_tokenizer") or {}
     first = (steps.get("pretokenizers") or [steps])[0]
-    pattern = first.get("pattern", {}).get("Regex", "")
-    return first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and "[^\\s" in pattern
+    lowers = "Lowercase" in [n.get("type") for n in (found.get("normalizer") or {}).get("normalizers", [])]
+    return lowers and first.get("pattern", {}).get("Regex") == PATTERN and first.get("behavior") == "Removed" and bool(first.get("invert"))
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> str:
@@ -89,8 +130,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = f.read()
-    if not splits_at_space(tokenizer):
-        raise ValueError("the tokenizer doesn't drop white space: words can't be encoded one by one")
+    if not splits_words(tokenizer):
+        raise ValueError("not a tokenizer of the supported kind: words can't be encoded one by one")
     width = 2 if max(json.loads(tokenizer)["model"]["vocab"].values()) < 1 << 16 and end_id < 1 << 16 else 4
     end = end_id.to_bytes(width, "little")
     if not end.isascii():
