@@ -148,6 +148,21 @@ def _ovr(spark, path):
     return rounded(evaluate.roc_auc_ovr(rows, "probs", "label", CLASSES))
 
 
+@query(
+    "roc_curve_ovr",
+    f"""WITH {LOGITS}, pts AS (SELECT CAST(class AS BIGINT) AS class, round(p, 9) AS score, count(*) FILTER (label = class) AS p,
+    count(*) FILTER (label <> class) AS n FROM probs GROUP BY ALL),
+c AS (SELECT class, score, sum(p) OVER w AS up, sum(n) OVER w AS un, sum(p) OVER (PARTITION BY class) AS ap,
+    sum(n) OVER (PARTITION BY class) AS an FROM pts WINDOW w AS (PARTITION BY class ORDER BY score DESC))
+SELECT class, round(un / CAST(an AS DOUBLE), 6) AS fpr, round(up / CAST(ap AS DOUBLE), 6) AS tpr, score AS threshold FROM c
+UNION ALL SELECT DISTINCT class, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(NULL AS DOUBLE) FROM c""",
+)
+def _roc_ovr(spark, path):
+    rows = logits(spark, path).withColumn("probs", F.transform(softmax(F.col("logits")), lambda p: F.round(p, 9)))
+    curve = evaluate.roc_curve(evaluate.one_vs_rest(rows, "probs", "label", CLASSES), ["class"])
+    return rounded(curve, 9).withColumns({c: F.round(c, 6) for c in ("fpr", "tpr")})
+
+
 @query(
     "roc_curve",
     f"""WITH {CURVE} SELECT method, round(un / CAST(an AS DOUBLE), 6) AS fpr, round(up / CAST(ap AS DOUBLE), 6) AS tpr,

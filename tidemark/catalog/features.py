@@ -283,6 +283,18 @@ def _variance(spark, path):
     return rounded(matrix.variance_table(features(spark, path), TRAIN_FEATURES), 5)
 
 
+@query(
+    "variance_select",
+    f"WITH {TRAIN_SQL}, v AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, var_pop({c}) AS variance FROM feats" for c in TRAIN_FEATURES)
+    + ") SELECT feature, round(variance, 5) AS variance FROM v WHERE variance > 0",
+)
+def _variance_select(spark, path):
+    rows = features(spark, path)
+    kept = matrix.variance_select(rows, TRAIN_FEATURES)
+    return rounded(matrix.variance_table(rows, kept), 5)
+
+
 def scaled_sql(centre: str, scale: str) -> str:
     cols = ", ".join(
         f"round((f.{c} - s.m_{c}) / CASE WHEN s.s_{c} = 0 THEN 1.0 ELSE s.s_{c} END, 5) AS {c}" for c in NUMERIC
