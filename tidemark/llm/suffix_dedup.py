@@ -154,7 +154,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     every = stored(anchors(docs, id_col, text_col, GRAM, SPAN), "anchors")
     counts = every.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    places = stored(every.join(counts.select("h"), "h").groupBy("doc_id").agg(F.collect_set("pos").alias("places")), "anchor-places")
+    # stored: both sides of the join are then shuffled for it alone, and a passage of
+    # most documents is a skewed partition that Spark splits
+    several = stored(counts.select("h"), "repeated-anchors")
+    places = stored(every.join(several, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("places")), "anchor-places")
     near = docs.join(broadcast_if_small(places.select(F.col("doc_id").alias(id_col))), id_col, "semi")
     kept = suffixes(near, places, id_col, text_col, length)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
