@@ -315,3 +315,20 @@ def test_describe_with_searched_quartiles(spark):
     one = describe(df, ["x"], ["g"], bounded=True).orderBy("g").collect()
     two = describe(df, ["x"], ["g"], bounded=False).orderBy("g").collect()
     assert one == two and one[1]["q50"] == 1.0
+
+
+def test_blocklist_null_text(spark):
+    df = spark.createDataFrame([(None,), ("",)], "prompt string")
+    assert [r["pred"] for r in blocklist.keyword_blocklist(df).collect()] == [0, 0]
+
+
+def test_rejected_prompts_are_kept(spark, small):
+    from tidemark.catalog.evaluation import planted_labelled, scoring_model
+    from tidemark.plans.scoring import score_valid_prompts
+
+    rows = planted_labelled(spark, small).limit(5).select("prompt")
+    odd = spark.createDataFrame([(None,), ("",), ("x" * 20_001,)], "prompt string")
+    out = score_valid_prompts(rows.unionAll(odd), scoring_model(spark, small)).collect()
+    assert len(out) == rows.count() + 3
+    assert sorted(r["reject_reason"] for r in out if r["reject_reason"]) == ["empty", "missing", "too long"]
+    assert all((r["final_label"] is None) == (r["reject_reason"] is not None) for r in out)

@@ -39,10 +39,10 @@ def keyword_blocklist(
     out: str = "pred",
     patterns: Mapping[str, Sequence[str]] = BLOCKLIST,
 ) -> DataFrame:
-    """Add ``out``: 1 if any pattern matches the lower-cased text."""
+    """Add ``out``: 1 if any pattern matches the lower-cased text, else 0; a null text matches none."""
     tests = [matches(F.col("_low"), p) for group in patterns.values() for p in group]
     hit = reduce(lambda a, b: a | b, tests, F.lit(False))
-    return df.withColumn("_low", F.lower(text_col)).withColumn(out, hit.cast("int")).drop("_low")
+    return df.withColumn("_low", F.lower(text_col)).withColumn(out, F.coalesce(hit, F.lit(False)).cast("int")).drop("_low")
 
 
 def blocklist_hits(
