@@ -3,13 +3,13 @@
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z in
 lower case.  A window is ``WINDOW`` consecutive words of a benchmark item; an item
 of fewer words is one window.  The corpus is scanned twice: once to count the
-words that windows hold (summed per task before the shuffle), once to store the
-postings (document, position) of each window's two rarest words only.  The list
-of the rarest word gives the possible places of a window; it is intersected with
-the second list, both shifted by the words' offsets in the window.  What
-survives is checked against the stored postings of all window words in the
-documents that are left: a window occurs where as many words fit as it has.  If
-the shifted lists differ by at most ``SLOP`` words, it is a proximity match.
+words that items hold (summed per task before the shuffle), once to store the
+postings (document, position) of each window's two rarest words only.  Shifted by
+the word's offset in the item, the list of the rarest words gives the places where
+an item may begin; it is intersected with that of the second rarest.  What survives
+is checked against the postings of all item words in the documents that are left:
+runs of fitting words that are as long as a window are phrase matches.  Two shifted
+places that differ by at most ``SLOP`` words are a proximity match.
 
 Everything runs in DataFrame expressions.  Benchmark tables are broadcast after
 their rows were counted, and joined by shuffle beyond the bound.
@@ -33,13 +33,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def window_words(items: DataFrame, item_col: str, text_col: str, size: int) -> DataFrame:
-    """``window, n, offset, word`` and the items of each distinct window in
-    ``window_items`` (window, item_id)."""
+def item_words(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """``item_id, t, w``: lowered words of the items that have any; items of equal words
+    share ``t``."""
     texts = items.select(F.col(item_col).alias("item_id"), F.transform(words(F.col(text_col).cast("string")), ascii_lower).alias("w"))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (size - 1)))
-    spans = texts.where(F.size("w") > 0).select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("w"))
-    return spans.select("item_id", "w", F.sha2(F.array_join("w", " "), 256).alias("window")).distinct()
+    return texts.where(F.size("w") > 0).select("item_id", F.xxhash64(F.array_join("w", " ")).alias("t"), "w")
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
@@ -54,14 +52,15 @@ def benchmark_hits(
 ) -> dict[str, DataFrame]:
     """Matches of the benchmark in ``docs``.
 
-    ``phrases``: doc_id, window, start, n (words, from 0) of every exact occurrence;
-    ``near``: doc_id, window of every proximity match, the exact ones included;
-    ``windows``: window, item_id.  Null and empty texts have no words and no
-    matches, nor has a document with a null id.  Rows of equal id are one document
-    whose texts are matched one by one only if they are equal; give ids that differ."""
-    spans = stored(window_words(items, item_col, item_text_col, window), "windows")
-    flat = spans.select("window", "w").distinct().select("window", F.size("w").alias("n"), F.posexplode("w").alias("offset", "word"))
-    terms = stored(flat.select("word").distinct().select("word", F.xxhash64("word").alias("term")), "terms")
+    ``phrases``: doc_id, t, start, n (words, from 0): runs of ``n`` words of an item that
+    hold a window, or several that overlap; ``near``: doc_id, t of every proximity
+    match; ``items``: t, item_id.  Null and empty texts have no words and no matches,
+    nor has a document with a null id.  Rows of equal id are one document, whose texts
+    should be equal."""
+    listed = stored(item_words(items, item_col, item_text_col), "items")
+    texts = listed.select("t", "w").distinct()
+    flat = stored(texts.select("t", F.size("w").alias("length"), F.posexplode("w").alias("o", "word")).withColumn("term", F.xxhash64("word")), "item-words")
+    terms = stored(flat.select("word", "term").distinct(), "terms")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     small = broadcast_if_small(terms, BENCHMARK_ROWS)
 
@@ -69,42 +68,43 @@ def benchmark_hits(
     counts = stored(seen.join(small, "word").groupBy("term").agg(F.count("*").alias("count")), "term-counts")
 
     # the two rarest words of each window; a window with a word that never occurs can't match
-    known = flat.withColumn("term", F.xxhash64("word")).join(counts, "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    by_rarity = Window.partitionBy("window").orderBy("count", "term", "offset")
-    ranked = known.withColumn("rarity", F.row_number().over(by_rarity)).withColumn("least", F.min("count").over(Window.partitionBy("window")))
-    ranked = stored(ranked.where("least > 0").select("window", "n", "offset", "term", "word", "rarity"), "window-terms")
-    rare = ranked.where("rarity <= 2")
+    counted = flat.join(broadcast_if_small(counts, BENCHMARK_ROWS), "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    last = F.greatest(F.lit(0), F.col("length") - window)
+    held = counted.withColumn("k", F.explode(F.sequence(F.greatest(F.lit(0), F.col("o") - (window - 1)), F.least("o", last))))
+    in_window = Window.partitionBy("t", "k")
+    ranked = held.withColumn("rarity", F.row_number().over(in_window.orderBy("count", "term", "o"))).withColumn("least", F.min("count").over(in_window))
+    rare = stored(ranked.where("least > 0 AND rarity <= 2").select("t", "length", "o", "term", "word", "rarity").distinct(), "rare-words")
     rare_terms = broadcast_if_small(stored(rare.select("word", "term").distinct(), "rare-terms"), BENCHMARK_ROWS)
     usable = docs.where("doc_id IS NOT NULL")
     lists = stored(postings(usable, "doc_id", "text", rare_terms), "postings")
 
-    def shifted(k: int) -> DataFrame:
-        mine = broadcast_if_small(ranked.where(F.col("rarity") == k).select("term", "window", "n", "offset"), BENCHMARK_ROWS)
-        return lists.join(mine, "term").select("doc_id", "window", "n", (F.col("pos") - F.col("offset")).alias("start"))
+    def shifted(rarity: int) -> DataFrame:
+        """Places ``at`` where an item would begin in a document, by one word of each window."""
+        mine = broadcast_if_small(rare.where(F.col("rarity") == rarity).select("term", "t", "length", "o"), BENCHMARK_ROWS)
+        return lists.join(mine, "term").select("doc_id", "t", "length", (F.col("pos") - F.col("o")).alias("at"))
 
     first, second = shifted(1), shifted(2)
-    # equal starts, or starts in the same or the next stretch of ``slop`` + 1 words
-    at = F.floor(F.col("start") / (slop + 1))
-    left = first.withColumn("cell", at)
-    right = second.select("doc_id", "window", F.col("start").alias("other"), F.explode(F.array(at - 1, at, at + 1)).alias("cell"))
-    both = left.join(right, ["doc_id", "window", "cell"])
-    both = stored(
-        both.where(F.abs(F.col("start") - F.col("other")) <= slop).groupBy("doc_id", "window", "n", "start").agg(
-            F.max((F.col("start") == F.col("other")).cast("int")).alias("exact")
-        ), "window-places",
-    )
-    single = first.where("n = 1")
-    maybe = both.where("exact = 1 AND start >= 0").select("doc_id", "window", "n", "start").unionByName(single)
-
-    places = maybe.join(broadcast_if_small(ranked.select("window", "offset", "term"), BENCHMARK_ROWS), "window")
-    wanted = places.select("doc_id", "window", "n", "start", "term", (F.col("start") + F.col("offset")).cast("int").alias("pos"))
+    # equal places, or places in the same or the next stretch of ``slop`` + 1 words
+    cell = F.floor(F.col("at") / (slop + 1))
+    left = first.withColumn("cell", cell)
+    right = second.select("doc_id", "t", F.col("at").alias("other"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    both = left.join(right, ["doc_id", "t", "cell"]).where(F.abs(F.col("at") - F.col("other")) <= slop)
+    both = stored(both.groupBy("doc_id", "t", "at").agg(F.max((F.col("at") == F.col("other")).cast("int")).alias("exact")), "item-places")
+    single = first.where("length = 1").select("doc_id", "t", "at")
+    maybe = both.where("exact = 1").select("doc_id", "t", "at").unionByName(single).distinct()
+
+    wanted = maybe.join(broadcast_if_small(flat.select("t", "length", "o", "term"), BENCHMARK_ROWS), "t")
+    wanted = wanted.withColumn("pos", (F.col("at") + F.col("o")).cast("int")).where("pos >= 0")
     left_docs = stored(maybe.select("doc_id").distinct(), "matched-documents")
     again = usable.join(broadcast_if_small(left_docs), "doc_id", "semi")
     there = postings(again, "doc_id", "text", small).distinct()
-    fitting = wanted.join(there, ["doc_id", "pos", "term"]).groupBy("doc_id", "window", "n", "start").agg(F.count("*").alias("fit"))
-    phrases = stored(fitting.where("fit = n").select("doc_id", "window", "start", "n"), "phrases")
-    near = both.select("doc_id", "window").unionByName(single.select("doc_id", "window")).distinct()
-    return {"phrases": phrases, "near": near, "windows": spans.select("window", "item_id")}
+    fitting = wanted.join(there, ["doc_id", "pos", "term"]).select("doc_id", "t", "at", "length", "o")
+    run = F.col("o") - F.row_number().over(Window.partitionBy("doc_id", "t", "at").orderBy("o"))
+    runs = fitting.withColumn("run", run).groupBy("doc_id", "t", "at", "length", "run").agg(F.min("o").alias("o"), F.count("*").alias("n"))
+    whole = runs.where(F.col("n") >= F.least(F.lit(window), F.col("length")))
+    phrases = stored(whole.select("doc_id", "t", (F.col("at") + F.col("o")).alias("start"), "n"), "phrases")
+    near = both.select("doc_id", "t").unionByName(single.select("doc_id", "t")).distinct()
+    return {"phrases": phrases, "near": near, "items": listed.select("t", "item_id")}
 
 
 def contamination(
@@ -115,7 +115,7 @@ def contamination(
     (item ids as sorted strings), ``n_near`` (items with a proximity match) and
     ``contaminated``.  ``n_hit`` counts the words inside any occurrence."""
     hits = benchmark_hits(docs, items, id_col, text_col, item_col, item_text_col, window, slop)
-    windows = broadcast_if_small(hits["windows"], BENCHMARK_ROWS)
+    listed = broadcast_if_small(hits["items"], BENCHMARK_ROWS)
     # covered words of a document: union of its spans, each counted beyond the furthest end before it
     order = Window.partitionBy("doc_id").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
     spans = hits["phrases"].select("doc_id", "start", "n").distinct()
@@ -123,12 +123,12 @@ def contamination(
     before = F.coalesce(F.max(end).over(order), F.lit(0))
     new = spans.select("doc_id", F.greatest(F.lit(0), end - F.greatest("start", before)).alias("new"))
     covered = new.groupBy("doc_id").agg(F.sum("new").cast("long").alias("n_hit"))
-    found = hits["phrases"].select("doc_id", "window").distinct().join(windows, "window")
+    found = hits["phrases"].select("doc_id", "t").distinct().join(listed, "t")
     names = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    near = hits["near"].join(windows, "window").groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_near"))
+    near = hits["near"].join(listed, "t").groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_near"))
     per_doc = covered.join(names, "doc_id").join(near, "doc_id", "full")
-    size = F.coalesce(F.size(words(F.col(text_col).cast("string"))), F.lit(0))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(size < 0, 0).otherwise(size).cast("long").alias("n_words"))
+    size = F.size(F.coalesce(words(F.col(text_col).cast("string")), F.array().cast("array<string>")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.cast("long").alias("n_words"))
     out = rows.join(per_doc, "doc_id", "left")
     items_found = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
