@@ -108,6 +108,7 @@ def decide_prompt_risk(df: DataFrame) -> DataFrame:
         return F.format_string(template, *cols)
 
     name = F.col("predicted_label")
+    # fixed values: the reason texts, which users of the decisions match
     lines = [
         F.when(anomalous, said("anomaly_score_above_threshold (%.4f >= %.4f)", score, limit)).otherwise(
             said("anomaly_score_below_threshold (%.4f < %.4f)", score, limit)
