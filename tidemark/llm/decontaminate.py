@@ -81,14 +81,16 @@ def benchmark_hits(
     def shifted(rarity: int) -> DataFrame:
         """Places ``at`` where an item would begin in a document, by one word of each window."""
         mine = broadcast_if_small(rare.where(F.col("rarity") == rarity).select("term", "t", "length", "o"), BENCHMARK_ROWS)
-        return lists.join(mine, "term").select("doc_id", "t", "length", (F.col("pos") - F.col("o")).alias("at"))
+        return lists.join(mine, "term").select("doc_id", "t", "length", "o", (F.col("pos") - F.col("o")).alias("at"))
 
     first, second = shifted(1), shifted(2)
     # equal places, or places in the same or the next stretch of ``slop`` + 1 words
     cell = F.floor(F.col("at") / (slop + 1))
     left = first.withColumn("cell", cell)
-    right = second.select("doc_id", "t", F.col("at").alias("other"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    both = left.join(right, ["doc_id", "t", "cell"]).where(F.abs(F.col("at") - F.col("other")) <= slop)
+    right = second.select("doc_id", "t", F.col("o").alias("o2"), F.col("at").alias("other"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    # two words, which one window can hold: a word that is rare in two windows doesn't meet itself
+    pair = (F.col("o") != F.col("o2")) & (F.abs(F.col("o") - F.col("o2")) < window)
+    both = left.join(right, ["doc_id", "t", "cell"]).where(pair & (F.abs(F.col("at") - F.col("other")) <= slop))
     both = stored(both.groupBy("doc_id", "t", "at").agg(F.max((F.col("at") == F.col("other")).cast("int")).alias("exact")), "item-places")
     single = first.where("length = 1").select("doc_id", "t", "at")
     maybe = both.where("exact = 1").select("doc_id", "t", "at").unionByName(single).distinct()
