@@ -152,6 +152,19 @@ def test_secrets_equal_brute_force(frame):
     assert secrets_scan.find_secrets(frame([])).count() == 0
 
 
+def test_secret_models_learn_from_all_texts(frame):
+    rng = random.Random(21)
+    values = [key(rng) for _ in range(4_200)]
+    texts = [f"{('password=', 'passwd: ')[i % 2]}{v}" for i, v in enumerate(values[:4_000])] + [f"secret={v}" for v in values[4_000:]]
+    others = ["AKIA" + "Q7" * 8, "ab12" * 10]  # an access key and hexadecimal digits, without a keyword
+    samples = secrets_scan.labelled_samples(frame(list(enumerate(texts + others))))
+    assert {r["s"] for r in samples.where("random").collect()} == {*values, *others}
+    # copies of a text weigh no more than the text
+    few = list(enumerate(["plain words of one text", "other words token=abcdefgh12345678"]))
+    hot = [(10 + i, few[0][1]) for i in range(4_100)]
+    assert secrets_scan.train(secrets_scan.labelled_samples(frame(few + hot))) == secrets_scan.train(secrets_scan.labelled_samples(frame(few)))
+
+
 def test_secret_query_equals_brute_force(spark, small):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     for r in QUERIES["op7_secret_scans"](spark, small).collect():

@@ -5,11 +5,11 @@ them, each remaining key-like run of characters is scored: the log-likelihood
 ratio per character of two first-order Markov models, one of random strings, one
 of ordinary identifiers; runs above ``RATIO`` are added as spans of kind "model".
 
-The models are trained from samples that the patterns label: values they find are
-random strings, words without digits are identifiers, both from the ``SAMPLE``
-texts of least hash that have some (a documented bound of the fit alone).  Scans
-cover all texts.  All work is done by DataFrame expressions; the pieces between
-matches give their positions.
+The models are trained from all distinct texts, labelled by the patterns: distinct
+values they find are random strings, words without digits, by their frequency, are
+identifiers.  Copies of a text count once; values and words are pre-aggregated, and the
+counts of adjacent characters are 128 x 128 at any size.  All work is done by DataFrame expressions; the
+pieces between matches give their positions.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 
 ALPHABET = 128
-SAMPLE, RATIO, SMOOTH = 4_000, 0.5, 0.5
+RATIO, SMOOTH = 0.5, 0.5
 
 
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -70,33 +70,39 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def bigrams(strings: DataFrame) -> DataFrame:
-    """``code, n``: counts of adjacent characters of the column ``s``, 128 * first + second."""
+    """``random, code, n``: counts of adjacent characters of ``s``, each ``n`` times, 128 * first + second."""
     i = F.explode(F.sequence(F.lit(1), F.length("s") - 1))
-    each = strings.where(F.length("s") > 1).select("s", i.alias("i"))
+    each = strings.where(F.length("s") > 1).select("random", "s", "n", i.alias("i"))
     code = F.ascii(F.substring("s", F.col("i"), F.lit(1))) * ALPHABET + F.ascii(F.substring("s", F.col("i") + 1, F.lit(1)))
-    return each.select(code.alias("code")).where((F.col("code") >= 0) & (F.col("code") < ALPHABET * ALPHABET)).groupBy("code").agg(F.count("*").alias("n"))
+    return each.select("random", "n", code.alias("code")).where((F.col("code") >= 0) & (F.col("code") < ALPHABET * ALPHABET)).groupBy("random", "code").agg(F.sum("n").alias("n"))
 
 
-def labelled_samples(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """``random, s``: values that the patterns find, and words that hold no digit."""
-    text = F.col(text_col).cast("string").alias("text")
-    hinted = F.contains(F.lower(text), F.lit("token")) | F.contains(F.lower(text), F.lit("secret")) | F.contains(text, F.lit("AKIA")) | F.contains(F.lower(text), F.lit("api"))
-    order = F.xxhash64("text")
-    plain = docs.select(text).where(F.length("text") > 0).withColumn("o", order).orderBy("o", "text").limit(sample)
-    keyed = docs.select(text).where(hinted & F.col("text").rlike(f"{ASSIGN}|{HEX}")).withColumn("o", order).orderBy("o", "text").limit(sample)
-    found = F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)))
-    random = keyed.select(F.lit(True).alias("random"), F.explode(found).alias("s")).where(F.length("s") >= 12)
-    names = plain.select(F.lit(False).alias("random"), F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]{4,}"), F.lit(0))).alias("s"))
-    return random.unionByName(names)
+def labelled_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``random, s, n``: the distinct values that the patterns find, once each, and the words
+    that hold no digit with their number, of all distinct texts."""
+    text = docs.select(F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0).distinct()
+    lowered, none = F.lower("text"), F.array().cast("array<string>")
+    hint = F.lit(False)
+    for word in KEYWORDS:
+        hint = hint | F.contains(lowered, F.lit(word))
+    every = lambda pattern, group=0: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    found = F.concat(
+        F.when(hint, every(ASSIGN, 2)).otherwise(none),
+        F.when(F.col("text").rlike(HEX), every(HEX)).otherwise(none),
+        F.when(F.contains("text", F.lit("AKIA")), every(ACCESS)).otherwise(none),
+    )
+    values = F.transform(F.filter(found, lambda s: F.length(s) >= 12), lambda s: F.struct(F.lit(True).alias("random"), s.alias("s")))
+    names = F.transform(every(r"[A-Za-z_]{4,}"), lambda s: F.struct(F.lit(False).alias("random"), s.alias("s")))
+    counted = text.select(F.explode(F.concat(values, names)).alias("x")).groupBy("x.random", "x.s").agg(F.count("*").alias("n"))
+    return counted.withColumn("n", F.when(F.col("random"), F.lit(1)).otherwise(F.col("n")))
 
 
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratio of each pair of characters, random against identifier; a
     table of 128 x 128 whatever the samples."""
-    counts = {}
-    for random in (True, False):
-        rows = bigrams(samples.where(F.col("random") == random)).collect()
-        counts[random] = {r["code"]: r["n"] for r in rows}
+    counts: dict[bool, dict[int, int]] = {True: {}, False: {}}
+    for r in bigrams(samples).collect():
+        counts[r["random"]][r["code"]] = r["n"]
     out = [0.0] * (ALPHABET * ALPHABET)
     alphabet = [c for c in range(ALPHABET) if chr(c).isalnum() or chr(c) in "+/_=-"]
     for a in alphabet:
@@ -119,7 +125,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     model`` of (start, kind, end, value), starts and exclusive ends in code points.
 
     Null and empty texts have no spans.  Without ``model``, it is trained on
-    ``docs``; if a sample is empty, all ratios are near zero and no span is added.
+    ``docs``; if no value or no word is found, all ratios are near zero and no span is added.
     A model span never repeats a base span's place; base spans stay."""
     if model is None:
         model = train(labelled_samples(docs, text_col))
