@@ -13,6 +13,7 @@ from tidemark.operators.quantiles import exact_quantiles
 from tidemark.plans.corpus import chat_prompts, engineered_columns
 from tidemark.plans.scoring import fit_scoring, score_valid_prompts
 from tidemark.plans.selection import FOREST_GRID, LOF_GRID, best_detector, candidate_scores, detector_board, grid
+from tidemark.catalog import QUERIES
 from tidemark.catalog.tables import planted_labelled, vectors
 from tidemark.streaming.score import read_stream, score_available
 
@@ -332,3 +333,12 @@ def test_rejected_prompts_are_kept(spark, small):
     assert len(out) == rows.count() + 3
     assert sorted(r["reject_reason"] for r in out if r["reject_reason"]) == ["empty", "missing", "too long"]
     assert all((r["final_label"] is None) == (r["reject_reason"] is not None) for r in out)
+
+
+def test_assembled_features_keep_rows_without_a_vector(spark):
+    path = "/root/testdata/sf0.01"
+    labelled = planted_labelled(spark, path).select("row_id")
+    with_vector = labelled.join(vectors(spark, path).select(F.col("vec_id").alias("row_id")), "row_id", "semi").count()
+    rows = QUERIES["assemble_features"](spark, path).select("row_id", "embed_pca_1", "embed_pca_32").collect()
+    assert with_vector < labelled.count() == len(rows)
+    assert sum(r["embed_pca_1"] is not None for r in rows) == sum(r["embed_pca_32"] is not None for r in rows) == with_vector

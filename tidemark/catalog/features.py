@@ -212,7 +212,7 @@ def _explained(spark, path):
 def _assemble(spark, path):
     vecs = vectors(spark, path)
     rows = planted_labelled(spark, path).join(
-        vecs.select(F.col("vec_id").alias("row_id"), "embedding"), "row_id"
+        vecs.select(F.col("vec_id").alias("row_id"), "embedding"), "row_id", "left"
     )
     return engineered_table(rows, matrix.fit_pca(vecs, k=32)).drop("prompt")
 

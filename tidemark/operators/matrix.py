@@ -241,8 +241,11 @@ class PcaProjection:
         def projected(batch: pd.Series) -> pd.Series:
             if len(batch) == 0:
                 return pd.Series([], dtype=object)
-            x = np.stack(batch.to_numpy()).astype(np.float64)
-            return pd.Series(list((x - mean) @ components))
+            out, some = pd.Series([None] * len(batch), dtype=object), batch.notna().to_numpy()
+            if some.any():
+                x = np.stack(batch[some].to_numpy()).astype(np.float64)
+                out[some] = pd.Series(list((x - mean) @ components), index=np.flatnonzero(some))
+            return out
 
         return df.withColumn(out, projected(F.col(col)))
 
@@ -264,8 +267,8 @@ def fit_pca(df: DataFrame, col: str = "embedding", k: int = 32) -> PcaProjection
 
 
 def spread_columns(df: DataFrame, col: str, prefix: str, width: int) -> DataFrame:
-    """Array to ``prefix_1..width`` columns; a short array gives 0.0."""
-    parts = [F.coalesce(F.get(col, F.lit(i)), F.lit(0.0)).alias(f"{prefix}_{i + 1}") for i in range(width)]
+    """Array to ``prefix_1..width`` columns; a short array gives 0.0, a null one nulls."""
+    parts = [F.when(F.col(col).isNotNull(), F.coalesce(F.get(col, F.lit(i)), F.lit(0.0))).alias(f"{prefix}_{i + 1}") for i in range(width)]
     return df.select(*[c for c in df.columns if c != col], *parts)
 
 
