@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,19 @@ def worker_cache(name: str, make: Callable):
     return kept[name]
 
 
+def byte_slices(batch: pa.RecordBatch, limit: int = 2 << 20, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``rows`` rows and about ``limit`` bytes; a row is never cut."""
+    each = max(1, min(rows, limit * batch.num_rows // max(1, batch.nbytes)))
+    waiting = [batch.slice(at, each) for at in range(0, batch.num_rows, each)][::-1]
+    while waiting:
+        part = waiting.pop()
+        if part.num_rows > 1 and part.nbytes > 2 * limit:
+            half = part.num_rows // 2
+            waiting += [part.slice(half), part.slice(0, half)]
+        else:
+            yield part
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges`` (u, v: long): ``node, component`` with the
     smallest node as the component, for every node that has an edge to another.

@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chain_dedup, cotrain, decontaminate, line_dedup, minhash, secrets_scan, sentencepiece_codec, suffix_dedup, token_output, topk
+from tidemark.llm import (
+    chain_dedup, cotrain, decontaminate, line_dedup, minhash, multiset_hash, ns_bounds, piece_table, secrets_scan,
+    sentencepiece_codec, suffix_dedup, token_output, topk,
+)
 
 PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
 
@@ -96,6 +99,21 @@ def _fuzzy(spark, path):
     return chain_dedup.fuzzy_summary(read(spark, path, "documents"))
 
 
+@query("op11_fill_in_middle", piece_table.SQL)
+def _middle(spark, path):
+    return piece_table.summary(read(spark, path, "documents"))
+
+
+@query("op12_document_fingerprints")
+def _fingerprints(spark, path):
+    return multiset_hash.edit_report(read(spark, path, "documents"))
+
+
+@query("op13_centroid_clustering", ns_bounds.sql())
+def _clusters(spark, path):
+    return ns_bounds.summary(read(spark, path, "embeddings"))
+
+
 @query("pipeline")
 def _pipeline(spark, path):
     import corpus_pipeline  # beside the package; it uses this module
