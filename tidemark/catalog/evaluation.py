@@ -513,7 +513,7 @@ def _classifiers(spark, path):
     """Blocklist and TF-IDF SVM on the same held-out split, one metric row each."""
     parts = planted_split(spark, path).select("row_id", "prompt", "label", "split")
     test = parts.where("split = 'test'")
-    svm = tfidf.fit_tfidf_svm(parts.where("split = 'train'"), max_features=2000, max_iter=20)
+    svm = tfidf.fit_tfidf_svm(parts.where("split = 'train'"))
     ruled = blocklist.keyword_blocklist(test)
     rows = ruled.select(F.lit("keyword_blocklist").alias("method"), "label", "pred").unionByName(svm.predict(test).select(F.lit("tfidf_svm").alias("method"), "label", "pred"))
     return rounded(evaluate.summary_scores(rows, BY))

@@ -88,7 +88,7 @@ def planted_split(spark, path):
 @query("tfidf_svm")
 def _svm(spark, path):
     parts = planted_split(spark, path)
-    model = tfidf.fit_tfidf_svm(parts.where("split = 'train'"), max_features=2000, max_iter=20)
+    model = tfidf.fit_tfidf_svm(parts.where("split = 'train'"))
     return model.predict(parts.where("split = 'test'").select("row_id", "prompt", "label")).drop("prompt")
 
 
