@@ -11,6 +11,9 @@ is checked against the postings of all item words in the documents that are left
 runs of fitting words that are as long as a window are phrase matches.  Two shifted
 places that differ by at most ``SLOP`` words are a proximity match.
 
+A document is known by the digest of its text: rows of one id may differ, rows
+without an id have words too, and copies are matched once.
+
 Everything runs in DataFrame expressions.  Benchmark tables are broadcast after
 their rows were counted, and joined by shuffle beyond the bound.
 """
@@ -24,7 +27,7 @@ from pyspark.sql.window import Window
 from tidemark.llm.common import ascii_lower, broadcast_if_small, stored
 
 WINDOW, SLOP = 10, 5
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
 BENCHMARK_ROWS = 400_000  # short rows: some tens of MB
 
 
@@ -40,28 +43,32 @@ def item_words(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return texts.where(F.size("w") > 0).select("item_id", F.xxhash64(F.array_join("w", " ")).alias("t"), "w")
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
-    """``doc_id, pos, term`` of every word of ``terms`` (word, term)."""
-    each = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(words(F.col(text_col).cast("string"))).alias("pos", "raw"))
-    return each.withColumn("word", ascii_lower(F.col("raw"))).join(terms, "word").select("doc_id", "pos", "term")
+def text_key(text: Column) -> Column:
+    """What a text is known by here; null for a null text."""
+    return F.unhex(F.md5(text.cast("string")))
+
+
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``text_key, pos, term`` of every word of ``terms`` (word, term) in the texts (text_key, text)."""
+    each = docs.select("text_key", F.posexplode(words(F.col("text"))).alias("pos", "raw"))
+    return each.withColumn("word", ascii_lower(F.col("raw"))).join(terms, "word").select("text_key", "pos", "term").distinct()
 
 
 def benchmark_hits(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, items: DataFrame, text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int = SLOP,
 ) -> dict[str, DataFrame]:
-    """Matches of the benchmark in ``docs``.
+    """Matches of the benchmark in the texts of ``docs``, by ``text_key``.
 
-    ``phrases``: doc_id, t, start, n (words, from 0): runs of ``n`` words of an item that
-    hold a window, or several that overlap; ``near``: doc_id, t of every proximity
-    match; ``items``: t, item_id.  Null and empty texts have no words and no matches,
-    nor has a document with a null id.  Rows of equal id are one document, whose texts
-    should be equal."""
+    ``phrases``: text_key, t, start, n (words, from 0): runs of ``n`` words of an item
+    that hold a window, or several that overlap; ``near``: text_key, t of every
+    proximity match; ``items``: t, item_id.  Null and empty texts have no words and
+    no matches; rows of equal text have the same ones."""
     listed = stored(item_words(items, item_col, item_text_col), "items")
     texts = listed.select("t", "w").distinct()
     flat = stored(texts.select("t", F.size("w").alias("length"), F.posexplode("w").alias("o", "word")).withColumn("term", F.xxhash64("word")), "item-words")
     terms = stored(flat.select("word", "term").distinct(), "terms")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     small = broadcast_if_small(terms, BENCHMARK_ROWS)
 
     seen = docs.select(F.explode(words(F.col("text"))).alias("raw")).select(ascii_lower(F.col("raw")).alias("word"))
@@ -75,37 +82,37 @@ def benchmark_hits(
     ranked = held.withColumn("rarity", F.row_number().over(in_window.orderBy("count", "term", "o"))).withColumn("least", F.min("count").over(in_window))
     rare = stored(ranked.where("least > 0 AND rarity <= 2").select("t", "length", "o", "term", "word", "rarity").distinct(), "rare-words")
     rare_terms = broadcast_if_small(stored(rare.select("word", "term").distinct(), "rare-terms"), BENCHMARK_ROWS)
-    usable = docs.where("doc_id IS NOT NULL")
-    lists = stored(postings(usable, "doc_id", "text", rare_terms), "postings")
+    known = docs.select(text_key(F.col("text")).alias("text_key"), "text")
+    lists = stored(postings(known, rare_terms), "postings")
 
     def shifted(rarity: int) -> DataFrame:
         """Places ``at`` where an item would begin in a document, by one word of each window."""
         mine = broadcast_if_small(rare.where(F.col("rarity") == rarity).select("term", "t", "length", "o"), BENCHMARK_ROWS)
-        return lists.join(mine, "term").select("doc_id", "t", "length", "o", (F.col("pos") - F.col("o")).alias("at"))
+        return lists.join(mine, "term").select("text_key", "t", "length", "o", (F.col("pos") - F.col("o")).alias("at"))
 
     first, second = shifted(1), shifted(2)
     # equal places, or places in the same or the next stretch of ``slop`` + 1 words
     cell = F.floor(F.col("at") / (slop + 1))
     left = first.withColumn("cell", cell)
-    right = second.select("doc_id", "t", F.col("o").alias("o2"), F.col("at").alias("other"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    right = second.select("text_key", "t", F.col("o").alias("o2"), F.col("at").alias("other"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     # two words, which one window can hold: a word that is rare in two windows doesn't meet itself
     pair = (F.col("o") != F.col("o2")) & (F.abs(F.col("o") - F.col("o2")) < window)
-    both = left.join(right, ["doc_id", "t", "cell"]).where(pair & (F.abs(F.col("at") - F.col("other")) <= slop))
-    both = stored(both.groupBy("doc_id", "t", "at").agg(F.max((F.col("at") == F.col("other")).cast("int")).alias("exact")), "item-places")
-    single = first.where("length = 1").select("doc_id", "t", "at")
-    maybe = both.where("exact = 1").select("doc_id", "t", "at").unionByName(single).distinct()
+    both = left.join(right, ["text_key", "t", "cell"]).where(pair & (F.abs(F.col("at") - F.col("other")) <= slop))
+    both = stored(both.groupBy("text_key", "t", "at").agg(F.max((F.col("at") == F.col("other")).cast("int")).alias("exact")), "item-places")
+    single = first.where("length = 1").select("text_key", "t", "at")
+    maybe = both.where("exact = 1").select("text_key", "t", "at").unionByName(single).distinct()
 
     wanted = maybe.join(broadcast_if_small(flat.select("t", "length", "o", "term"), BENCHMARK_ROWS), "t")
     wanted = wanted.withColumn("pos", (F.col("at") + F.col("o")).cast("int")).where("pos >= 0")
-    left_docs = stored(maybe.select("doc_id").distinct(), "matched-documents")
-    again = usable.join(broadcast_if_small(left_docs), "doc_id", "semi")
-    there = postings(again, "doc_id", "text", small).distinct()
-    fitting = wanted.join(there, ["doc_id", "pos", "term"]).select("doc_id", "t", "at", "length", "o")
-    run = F.col("o") - F.row_number().over(Window.partitionBy("doc_id", "t", "at").orderBy("o"))
-    runs = fitting.withColumn("run", run).groupBy("doc_id", "t", "at", "length", "run").agg(F.min("o").alias("o"), F.count("*").alias("n"))
+    left_docs = stored(maybe.select("text_key").distinct(), "matched-documents")
+    again = known.join(broadcast_if_small(left_docs), "text_key", "semi")
+    there = postings(again, small)
+    fitting = wanted.join(there, ["text_key", "pos", "term"]).select("text_key", "t", "at", "length", "o")
+    run = F.col("o") - F.row_number().over(Window.partitionBy("text_key", "t", "at").orderBy("o"))
+    runs = fitting.withColumn("run", run).groupBy("text_key", "t", "at", "length", "run").agg(F.min("o").alias("o"), F.count("*").alias("n"))
     whole = runs.where(F.col("n") >= F.least(F.lit(window), F.col("length")))
-    phrases = stored(whole.select("doc_id", "t", (F.col("at") + F.col("o")).alias("start"), "n"), "phrases")
-    near = both.select("doc_id", "t").unionByName(single.select("doc_id", "t")).distinct()
+    phrases = stored(whole.select("text_key", "t", (F.col("at") + F.col("o")).alias("start"), "n"), "phrases")
+    near = both.select("text_key", "t").unionByName(single.select("text_key", "t")).distinct()
     return {"phrases": phrases, "near": near, "items": listed.select("t", "item_id")}
 
 
@@ -115,23 +122,24 @@ def contamination(
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items``
     (item ids as sorted strings), ``n_near`` (items with a proximity match) and
-    ``contaminated``.  ``n_hit`` counts the words inside any occurrence."""
-    hits = benchmark_hits(docs, items, id_col, text_col, item_col, item_text_col, window, slop)
+    ``contaminated``.  ``n_hit`` counts the words inside any occurrence.  Rows that
+    repeat an id, or have none, are judged by their own text."""
+    hits = benchmark_hits(docs, items, text_col, item_col, item_text_col, window, slop)
     listed = broadcast_if_small(hits["items"], BENCHMARK_ROWS)
     # covered words of a document: union of its spans, each counted beyond the furthest end before it
-    order = Window.partitionBy("doc_id").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
-    spans = hits["phrases"].select("doc_id", "start", "n").distinct()
+    order = Window.partitionBy("text_key").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
+    spans = hits["phrases"].select("text_key", "start", "n").distinct()
     end = F.col("start") + F.col("n")
     before = F.coalesce(F.max(end).over(order), F.lit(0))
-    new = spans.select("doc_id", F.greatest(F.lit(0), end - F.greatest("start", before)).alias("new"))
-    covered = new.groupBy("doc_id").agg(F.sum("new").cast("long").alias("n_hit"))
-    found = hits["phrases"].select("doc_id", "t").distinct().join(listed, "t")
-    names = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    near = hits["near"].join(listed, "t").groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_near"))
-    per_doc = covered.join(names, "doc_id").join(near, "doc_id", "full")
+    new = spans.select("text_key", F.greatest(F.lit(0), end - F.greatest("start", before)).alias("new"))
+    covered = new.groupBy("text_key").agg(F.sum("new").cast("long").alias("n_hit"))
+    found = hits["phrases"].select("text_key", "t").distinct().join(listed, "t")
+    names = found.groupBy("text_key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    near = hits["near"].join(listed, "t").groupBy("text_key").agg(F.countDistinct("item_id").alias("n_near"))
+    per_doc = covered.join(names, "text_key").join(near, "text_key", "full")
     size = F.size(F.coalesce(words(F.col(text_col).cast("string")), F.array().cast("array<string>")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.cast("long").alias("n_words"))
-    out = rows.join(per_doc, "doc_id", "left")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), size.cast("long").alias("n_words"))
+    out = rows.join(broadcast_if_small(stored(per_doc, "hit-texts"), BENCHMARK_ROWS), "text_key", "left")
     items_found = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(items_found).cast("long").alias("n_items"),
@@ -139,6 +147,12 @@ def contamination(
     )
 
 
+def without_benchmark(docs: DataFrame, items: DataFrame, text_col: str = "text", **kw) -> DataFrame:
+    """The rows of ``docs`` whose text holds no window of an item; null texts hold none."""
+    leaks = stored(benchmark_hits(docs, items, text_col, **kw)["phrases"].select("text_key").distinct(), "leaks")
+    return docs.join(broadcast_if_small(leaks, BENCHMARK_ROWS), text_key(F.col(text_col)) == leaks["text_key"], "anti")
+
+
 SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark),
