@@ -33,62 +33,89 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import broadcast_if_small, stored, worker_cache
+from tidemark.llm.common import broadcast_if_small, byte_slices, stored, worker_cache
 from tidemark.llm.words import mixed
 from tidemark.session import scratch_path
 
 PART_KEYS = 50_000
 NULL_KEY = -(1 << 63)
-CACHE = 500_000
+GENERATION = 40 << 20  # bytes of words and their ids, estimated; a worker keeps two generations
+
+
+def byte_letters() -> list[str]:
+    """Character that a byte-level tokenizer writes for each byte: itself if it prints
+    in Latin-1, else the next one from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
 
 
 class Vocabulary:
-    """The tokenizers library, asked once for each distinct run of letters, and for
-    each other distinct word."""
+    """The tokenizers library, asked for each word that it was not asked lately.
 
-    #: letters, then signs that are neither letters, digits, apostrophes nor part of a special token
-    LETTERS_SIGNS = re.compile(rb"([a-z]+)([!-&(-/:;=?-@\[-`{}~]+)")
+    Words of Latin-1 letters, digits and ASCII signs fall into the runs that the
+    pre-tokenizer makes of them and go straight to the library's model; all others go
+    through the whole library.  Two generations of ``GENERATION`` bytes are kept."""
+
+    RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=?-@\[-`{}~]+")
+    PLAIN = re.compile(r"(?:[a-zA-Zß-öø-ÿÀ-ÖØ-Þ0-9!-&(-/:;=?-@\[-`{}~])+")
 
     def __init__(self, text: str, width: int) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(text)
+        self.model = self.library.model
         self.kind = np.dtype("<u2" if width == 2 else "<u4")
+        self.letters = byte_letters()
+        self.raw = [i.to_bytes(width, "little") for i in range(self.library.get_vocab_size())]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        special = [t for t in json.loads(text)["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"])]
-        self.between = (special[0]["content"], special[0]["id"]) if special else None
-
-    def ask(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word: of all in one text, with a special token between them."""
-        if self.between is None:
-            return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        content, mark = self.between
-        text = b" ".join([w + f" {content}".encode() for w in words]).decode()
-        ids = np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
-        ends = np.flatnonzero(ids == mark)
-        raw, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
-        return [raw[a * size : b * size] for a, b in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist())]
+        self.size = 0
+        self.short: dict[str, bytes] = {}
+
+    def run(self, piece: str) -> bytes:
+        """Ids of one run, which the pre-tokenizer doesn't part."""
+        if not piece.isascii():
+            piece = "".join(map(self.letters.__getitem__, piece.encode()))
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(piece)])
+
+    def parts(self, word: str) -> bytes:
+        """Ids of a plain word, run by run; short runs, of which there are few, are kept."""
+        runs = self.RUNS.findall(word.lower())
+        if len(runs) == 1:
+            return self.run(runs[0])
+        short, out = self.short, []
+        for r in runs:
+            found = short.get(r)
+            if found is None:
+                found = self.run(r)
+                if len(r) < 3:
+                    short[r] = found
+            out.append(found)
+        return b"".join(out)
 
     def learn(self, new: list[bytes]) -> None:
-        young, old, ask, split = self.young, self.old, [], []
+        young, old, ask, size = self.young, self.old, [], 0
+        ids, tokenize, plain = self.raw, self.model.tokenize, self.PLAIN.fullmatch
         for w in new:
-            if w in old:
-                young[w] = old[w]
-            elif b"<|" in w:  # may hold a special token
-                young[w] = np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-            else:
-                parts = self.LETTERS_SIGNS.fullmatch(w)
-                if parts is None:
+            raw = old.get(w)
+            if raw is None:
+                if w.isalpha() and w.islower():  # one run of ASCII letters
+                    raw = b"".join([ids[t.id] for t in tokenize(w.decode())])
+                elif plain(word := w.decode()) is not None:
+                    raw = self.parts(word)
+                else:  # also what may hold a special token
                     ask.append(w)
-                else:
-                    split.append((w, *parts.groups()))
-        ask += {p for _, *both in split for p in both if p not in young}.difference(ask)
-        for at in range(0, len(ask), 5000):
-            part = ask[at : at + 5000]
-            young.update(zip(part, self.ask(part)))
-        for w, letters, signs in split:
-            young[w] = young[letters] + young[signs]
+                    continue
+            young[w] = raw
+            size += 200 + len(w) + len(raw)
+        self.size += size
+        for at in range(0, len(ask), 1000):
+            part = ask[at : at + 1000]
+            for w, found in zip(part, self.library.encode_batch([w.decode() for w in part], add_special_tokens=False)):
+                young[w] = np.array(found.ids, self.kind).tobytes()
+                self.size += 200 + len(w) + len(young[w])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Raw ids of each text.  No token of the supported tokenizers spans ASCII white
@@ -102,8 +129,8 @@ class Vocabulary:
             for i in g:
                 f[i] = self.young[ws[i]]
         out = [b"".join(f) for f in found]
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
+        if self.size > GENERATION:
+            self.old, self.young, self.size = self.young, {}, 0
         return out
 
 
@@ -143,8 +170,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
         vocabulary = worker_cache(key, lambda: Vocabulary(tokenizer, width))
         ids, counts = [], []
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in byte_slices(batch, 1 << 20, 256):
                 raw = vocabulary.encode([x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()])
                 ids.append(part.column(0).to_numpy())
                 counts.append(np.array([len(x) // width + 1 for x in raw], np.int64))
@@ -299,31 +325,45 @@ def read_documents(found: DataFrame, path: str) -> DataFrame:
     longs = {"id": pa.int64(), "shard": pa.int32(), "offset": pa.int64(), "n_tokens": pa.int64(), "width": pa.int32()}
     kinds = pa.schema([*longs.items(), ("raw", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, f = None, None
+    def counts_of(f, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and token counts of a shard's documents."""
+        n = int(np.frombuffer(f.read_at(8, length - width - 16), "<i8")[0])
+        table = np.frombuffer(f.read_at(16 * n, length - width - 16 - 16 * n), "<i8")
+        return table[:n], table[n:]
+
+    def payload(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """One document at a time.  The directory of a shard is read once, and only if a
+        repeated key asks for it."""
+        name, f, listed = None, None, None
         for batch in batches:
-            out: list[tuple] = []
             cols = [batch.column(c).to_pylist() for c in ("id", "shard", "width", "docs", "first", "tokens", "file", "length")]
             for key, shard, width, docs, first, tokens, file, length in zip(*cols):
                 if file != name:
                     if f is not None:
                         f.close()
-                    name, f = file, opened(file)
-                raw = f.read_at(tokens * width, first * width)
+                    name, f, listed = file, opened(file), None
                 counts = [tokens]
-                if docs > 1:  # repeated keys: their counts stand in the directory
-                    n = int(np.frombuffer(f.read_at(8, length - width - 16), "<i8")[0])
-                    table = np.frombuffer(f.read_at(16 * n, length - width - 16 - 16 * n), "<i8")
-                    place = int(np.searchsorted(table[:n], key))
-                    counts = table[n + place : n + place + docs].tolist()
-                at = 0
+                if docs > 1:
+                    listed = listed or counts_of(f, length, width)
+                    place = int(np.searchsorted(listed[0], key))
+                    counts = listed[1][place : place + docs].tolist()
                 for c in counts:
-                    out.append((key, shard, first + at, c, width, raw[at * width : (at + c) * width]))
-                    at += c
-            yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, row)) for row in out], kinds)
+                    yield key, shard, first, c, width, f.read_at(c * width, first * width)
+                    first += c
         if f is not None:
             f.close()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for row in payload(batches):
+            out.append(row)
+            size += len(row[-1])
+            if size > 1 << 20 or len(out) == 2048:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds.types)], names=kinds.names)
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds.types)], names=kinds.names)
+
     return rows.mapInArrow(run, "id long, shard int, offset long, n_tokens long, width int, raw binary")
 
 
