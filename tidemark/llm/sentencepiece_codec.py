@@ -5,9 +5,8 @@ score and then from the left; the best pair is merged, its new neighbours are pu
 on the agenda, stale entries are skipped.  Symbols that are no piece at the end
 become byte pieces.  No piece holds the space mark after another character, so a
 text is encoded by its stretches "space marks, then other characters": each
-distinct stretch goes through the agenda once per worker, in a memory of two
-generations of at most ``CACHE`` stretches.  Every stretch that enters the memory
-is also encoded by the sentencepiece library, batch by batch; a difference stops
+distinct stretch goes through the agenda once, as long as the memory of a worker, two
+generations of ``GENERATION`` bytes, keeps it.  Every stretch that enters the memory is also encoded by the sentencepiece library, batch by batch; a difference stops
 the job.  The library decodes the ids of each batch.
 
 The model travels to the tasks as bytes; its size is that of the vocabulary.
@@ -26,10 +25,10 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import worker_cache
+from tidemark.llm.common import byte_slices, worker_cache
 
 MARK = "▁"
-CACHE = 500_000
+GENERATION = 56 << 20  # bytes of stretches and ids, estimated; a worker keeps two generations
 SHORT, NEVER = 48, 1 << 60
 
 
@@ -124,7 +123,7 @@ class Memory(dict):
 
     def __init__(self, codec: Codec) -> None:
         super().__init__()
-        self.codec, self.old, self.fresh = codec, {}, []
+        self.codec, self.old, self.fresh, self.size = codec, {}, [], 0
 
     def __missing__(self, text: str) -> tuple[int, ...]:
         ids = self.old.get(text)
@@ -134,12 +133,14 @@ class Memory(dict):
             if text != MARK:  # of which the library makes nothing
                 self.fresh.append(text)
         self[text] = ids
+        self.size += 200 + 2 * len(text) + 8 * len(ids)
         return ids
 
     def part(self, text: str) -> tuple[int, ...]:
         ids = self.get(text)
         if ids is None:
             ids = self[text] = tuple(self.codec.merged(text))
+            self.size += 200 + 2 * len(text) + 8 * len(ids)
         return ids
 
     def check(self) -> None:
@@ -151,9 +152,10 @@ class Memory(dict):
                 text = next(t for t, ids in zip(self.fresh, found) if self[t] != ids)
                 raise ValueError(f"encoding differs from the library's for {text!r}")
             self.fresh.clear()
-        if len(self) > CACHE:
+        if self.size > GENERATION:
             self.old = dict(self)
             self.clear()
+            self.size = 0
 
 
 STRETCH = re.compile(f"{MARK}+[^{MARK}]*")
@@ -188,8 +190,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", add_
         codec = memory.codec
         told, end = codec.told, [codec.end] if add_end else []
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in byte_slices(batch, 1 << 20):
                 texts = part.column(part.num_columns - 1).to_pylist()
                 ids = [list(chain.from_iterable(map(memory.__getitem__, stretches(x or "")))) for x in texts]
                 memory.check()
