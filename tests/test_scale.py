@@ -32,19 +32,19 @@ def brute_nearest(x, asked, k, p, itself):
 
 @pytest.mark.parametrize("p", [1, 2])
 def test_search_through_several_levels(spark, monkeypatch, p):
-    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 30)
-    monkeypatch.setattr(neighbours, "VISITORS", 50)
-    x = clustered(1500)
-    x[100:400] = x[3]  # many copies of one row
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(neighbours, "VISITORS", 100)
+    x = clustered(900)
+    x[100:300] = x[3]  # many copies of one row
     rows = points(spark, x)
     tree = neighbours.blocks(rows, p, 2)
-    assert tree.depth > 1 and tree.reach.agg(F.sum("n")).first()[0] == 1500
+    assert tree.depth > 1 and tree.reach.agg(F.sum("n")).first()[0] == 900
     found = collections.defaultdict(list)
     for r in tree.search(rows.select(F.col("id").alias("row"), "x"), 2, True).collect():
         found[r["row"]].append(r["distance"])
     want = brute_nearest(x, x, 2, p, True)
     assert all(sorted(found[i]) == pytest.approx(list(want[i])) for i in want)
-    new = clustered(80, seed=9)
+    new = clustered(40, seed=9)
     found = collections.defaultdict(list)
     for r in tree.search(points(spark, new).withColumnRenamed("id", "row"), 2, False).collect():
         found[r["row"]].append(r["distance"])
@@ -67,20 +67,20 @@ def test_search_groups_and_plan(spark, monkeypatch):
         return plain(visits, members, key, fn, schema)
 
     monkeypatch.setattr(neighbours, "meet", spied)
-    x = clustered(2000, centres=3)
-    x[:700] = x[0]
+    x = clustered(1000, centres=3)
+    x[:400] = x[0]
     rows = points(spark, x)
     out = neighbours.blocks(rows, 2, 1).search(rows.select(F.col("id").alias("row"), "x"), 1, True)
     plan = out._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
-    assert out.count() == 2000 and len(seen) > 4
+    assert out.count() == 1000 and len(seen) > 4
     assert max(v for v, _ in seen) < 160 and max(m for _, m in seen) < 2 * 64
 
 
 def test_search_work_grows_slower_than_the_square(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 128)
     work = []
-    for n in (1000, 4000, 16_000):
+    for n in (500, 2000, 8000):
         rows = points(spark, clustered(n, centres=200, d=3))
         tree = neighbours.blocks(rows, 2, 5)
         met = tree.visits(rows.select(F.col("id").alias("row"), "x"), 5, True).join(tree.reach, "block")
@@ -108,8 +108,7 @@ def test_novelty_equals_brute_force_for_both_metrics(spark):
 # --- forests
 
 
-@pytest.mark.parametrize("bootstrap", [False, True])
-@pytest.mark.parametrize("samples", [0.8, 200])
+@pytest.mark.parametrize("samples, bootstrap", [(0.8, False), (200, True)])
 def test_level_by_level_forest_equals_the_local_one(spark, monkeypatch, samples, bootstrap):
     x = clustered(600, centres=6, d=5)
     x[:250] = x[0]  # rows that no cut parts
@@ -130,7 +129,7 @@ def test_level_by_level_forest_equals_the_local_one(spark, monkeypatch, samples,
 def test_one_sampling_rule_at_every_size(spark):
     """A tree's rows are its own first, then others: with fewer trees than rows allow, and with more."""
     df = spark.range(500).select("id", F.array(F.rand(1)).alias("features"))
-    for trees, per_tree in ((4, 50), (4, 300), (20, 100), (3, 500), (3, 900)):
+    for trees, per_tree in ((4, 50), (20, 100), (3, 900)):
         picked = collections.defaultdict(set)
         for r in forest.tree_samples(df, "id", "features", 500, trees, per_tree, 42).collect():
             assert r["_id"] not in picked[r["tree"]]
@@ -150,7 +149,7 @@ def test_bootstrap_draws_as_many_rows(spark):
 
 def test_forests_of_a_grid_share_their_work(spark):
     df = points(spark, clustered(300, centres=4))
-    settings = [{"trees": 6, "max_samples": m, "max_features": f, "contamination": c} for m in ("auto", 0.5) for f in (0.8, 1.0) for c in ("auto", 0.1)]
+    settings = [{"trees": 6, "max_samples": m, "max_features": f, "contamination": c} for m in ("auto", 0.5) for f, c in ((0.8, "auto"), (1.0, 0.1))]
     many = forest.fit_isolation_forests(df, "id", "x", settings)
     for s, model in zip(settings, many):
         one = forest.fit_isolation_forest(df, "id", "x", **s)
@@ -178,13 +177,13 @@ def exact_counts(texts):
     return total, docs
 
 
-@pytest.mark.parametrize("summary", [120, 2000, 500_000])
+@pytest.mark.parametrize("summary", [120, 500_000])
 def test_vocabulary_from_summaries_is_exact(spark, monkeypatch, summary):
     df, texts = corpus(spark)
     total, docs = exact_counts(texts)
     monkeypatch.setattr(tfidf, "SUMMARY", summary)
     words = tfidf.with_words(df).select("_words").repartition(4)
-    for k in (1, 20, 60, 5000):
+    for k in (20, 5000):
         want = sorted(total, key=lambda t: (-total[t], t))[:k]
         model = tfidf.fit_tfidf(df, max_features=k)
         assert list(model.vocabulary) == sorted(want)
@@ -192,7 +191,7 @@ def test_vocabulary_from_summaries_is_exact(spark, monkeypatch, summary):
     counts, error = tfidf.summary(words, (1, 3), summary)
     assert error == 0 or summary == 120
     kept = {r["hash"]: r["n"] for r in counts.collect()}
-    assert sum(total.values()) - len(texts) * 0 >= sum(kept.values()) and error <= sum(total.values()) / summary + 4
+    assert sum(total.values()) >= sum(kept.values()) and error <= sum(total.values()) / summary + 4
 
 
 def test_ties_at_the_last_place_go_by_term(spark, monkeypatch):

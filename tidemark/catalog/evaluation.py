@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.catalog.models import CLASSES, LOGITS, logits, planted_split
+from tidemark.catalog.models import CLASSES, LOGITS, logits, planted_split, trained_on_text
 from tidemark.catalog.registry import query
 from tidemark.catalog.tables import PLANTED, SCORED, planted, planted_labelled, rounded, scored_documents, table, vectors
 from tidemark.functions.vectors import softmax
@@ -13,8 +16,8 @@ from tidemark.operators.build import stratified_split
 from tidemark.operators.common import windowed
 from tidemark.plans.corpus import chat_prompts
 from tidemark.plans.scoring import fit_scoring, score_valid_prompts
-from tidemark.plans.selection import best_detector, candidate_scores, detector_board
-from tidemark.session import scratch_path
+from tidemark.plans.selection import FOREST_GRID, LOF_GRID, best_detector, candidate_scores, detector_board, grid
+from tidemark.session import materialise, scratch_path
 from tidemark.sources import writers
 from tidemark.streaming.score import read_stream, score_available
 
@@ -457,9 +460,7 @@ def detector_scores(spark, path):
     train = rows.where("split = 'train' AND label <> 0")
     novel = (F.col("label") == 0).cast("int")
     val = rows.where("split = 'val' OR label = 0").withColumn("label", novel)
-    forests = [{"trees": 20, "max_features": f, "bootstrap": b} for f in (0.8, 1.0) for b in (False, True)]
-    lofs = [{"k": k, "p": p} for k in (15, 25) for p in (1, 2)]
-    return candidate_scores(train, val, "vec_id", "embedding", forests, lofs)
+    return candidate_scores(train, val, "vec_id", "embedding", grid(FOREST_GRID), grid(LOF_GRID))
 
 
 @query("detector_board")
@@ -510,10 +511,11 @@ def _chat(spark, path):
 
 @query("compare_classifiers")
 def _classifiers(spark, path):
-    """Blocklist and TF-IDF SVM on the same held-out split, one metric row each."""
-    parts = planted_split(spark, path).select("row_id", "prompt", "label", "split")
+    """Blocklist, TF-IDF SVM and text classifier on the same held-out split, one metric row each."""
+    parts = materialise(planted_split(spark, path).select("row_id", "prompt", "label", "split"))
     test = parts.where("split = 'test'")
     svm = tfidf.fit_tfidf_svm(parts.where("split = 'train'"))
-    ruled = blocklist.keyword_blocklist(test)
-    rows = ruled.select(F.lit("keyword_blocklist").alias("method"), "label", "pred").unionByName(svm.predict(test).select(F.lit("tfidf_svm").alias("method"), "label", "pred"))
-    return rounded(evaluate.summary_scores(rows, BY))
+    judged = trained_on_text(parts).score(test).withColumn("pred", (F.col("margin") > 0).cast("int"))
+    rows = [("keyword_blocklist", blocklist.keyword_blocklist(test)), ("tfidf_svm", svm.predict(test)), ("text_classifier", judged)]
+    told = [df.select(F.lit(name).alias("method"), "label", "pred") for name, df in rows]
+    return rounded(evaluate.summary_scores(reduce(DataFrame.unionByName, told), BY))

@@ -270,8 +270,7 @@ def _corr(spark, path):
 @query("drop_correlated")
 def _drop_corr(spark, path):
     feats = features(spark, path)
-    names = [*NUMERIC, "token_count", "line_count"]
-    return matrix.drop_correlated(feats.select("row_id", *names), matrix.correlated_columns(feats, names))
+    return matrix.drop_correlated(feats.select("row_id", *TRAIN_FEATURES), matrix.correlated_columns(feats, TRAIN_FEATURES))
 
 
 @query(
@@ -297,16 +296,16 @@ def _variance_select(spark, path):
 
 def scaled_sql(centre: str, scale: str) -> str:
     cols = ", ".join(
-        f"round((f.{c} - s.m_{c}) / CASE WHEN s.s_{c} = 0 THEN 1.0 ELSE s.s_{c} END, 5) AS {c}" for c in NUMERIC
+        f"round((f.{c} - s.m_{c}) / CASE WHEN s.s_{c} = 0 THEN 1.0 ELSE s.s_{c} END, 5) AS {c}" for c in TRAIN_FEATURES
     )
-    stats = ", ".join(f"{centre.format(c)} AS m_{c}, {scale.format(c)} AS s_{c}" for c in NUMERIC)
+    stats = ", ".join(f"{centre.format(c)} AS m_{c}, {scale.format(c)} AS s_{c}" for c in TRAIN_FEATURES)
     return f"WITH {TRAIN_SQL}, s AS (SELECT {stats} FROM feats) SELECT row_id, {cols} FROM feats f CROSS JOIN s"
 
 
 @query("scale_standard", scaled_sql("avg({0})", "stddev_pop({0})"))
 def _standard(spark, path):
-    feats = features(spark, path).select("row_id", *NUMERIC)
-    return rounded(matrix.fit_standard(feats, NUMERIC).apply(feats), 5)
+    feats = features(spark, path).select("row_id", *TRAIN_FEATURES)
+    return rounded(matrix.fit_standard(feats, TRAIN_FEATURES).apply(feats), 5)
 
 
 @query(
@@ -317,25 +316,25 @@ def _standard(spark, path):
     ),
 )
 def _robust(spark, path):
-    feats = features(spark, path).select("row_id", *NUMERIC)
-    return rounded(matrix.fit_robust(feats, NUMERIC).apply(feats), 5)
+    feats = features(spark, path).select("row_id", *TRAIN_FEATURES)
+    return rounded(matrix.fit_robust(feats, TRAIN_FEATURES).apply(feats), 5)
 
 
 @query("scale_quantile_normal")
 def _quantile(spark, path):
-    feats = features(spark, path).select("row_id", "label", *NUMERIC)
-    scaler = matrix.fit_quantile_normal(feats.where("label = 0"), NUMERIC)
+    feats = features(spark, path).select("row_id", "label", *TRAIN_FEATURES)
+    scaler = matrix.fit_quantile_normal(feats.where("label = 0"), TRAIN_FEATURES)
     return rounded(scaler.apply(feats))
 
 
 @query("rf_importance")
 def _importance(spark, path):
-    return matrix.rf_importance(features(spark, path), TRAIN_FEATURES, trees=20, depth=5)
+    return matrix.rf_importance(features(spark, path), TRAIN_FEATURES)
 
 
 @query("select_by_importance")
 def _select_importance(spark, path):
-    table_ = matrix.rf_importance(features(spark, path), TRAIN_FEATURES, trees=20, depth=5)
+    table_ = matrix.rf_importance(features(spark, path), TRAIN_FEATURES)
     return matrix.select_by_importance(table_)
 
 

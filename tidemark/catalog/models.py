@@ -12,8 +12,9 @@ from tidemark.catalog.tables import (
 )
 from tidemark.functions.rules import BLOCKLIST
 from tidemark.functions.vectors import softmax
-from tidemark.operators import anomaly, blocklist, decide, forest, matrix, models, neighbours, tfidf
+from tidemark.operators import anomaly, blocklist, decide, forest, matrix, models, neighbours, network, text_model, tfidf
 from tidemark.operators.build import stratified_split
+from tidemark.session import materialise, scratch_path
 
 # ---- rules -------------------------------------------------------------
 
@@ -92,12 +93,18 @@ def _svm(spark, path):
     return model.predict(parts.where("split = 'test'").select("row_id", "prompt", "label")).drop("prompt")
 
 
+def trained_on_text(parts):
+    return text_model.fit_hashed_classifier(*[parts.where(F.col("split") == s) for s in ("train", "val")])
+
+
 @query("text_classifier")
 def _classifier(spark, path):
-    rows = features(spark, path, keep=("row_id", "label"))
-    model = models.fit_text_classifier(rows, NUMERIC, grid=(0.01, 0.1), max_iter=20)
-    scored = decide.classify_scores(rows.withColumn("logits", model.logits()))
-    return scored.select("row_id", "label", "predicted_label", F.round("confidence", 6).alias("confidence"))
+    """Held-out prompts by the classifier trained on the text."""
+    parts = materialise(planted_split(spark, path).select("row_id", "prompt", "label", "split"))
+    model = trained_on_text(parts)
+    scored = model.score(parts.where("split = 'test'"))
+    judged = decide.classify_scores(scored.withColumn("logits", model.logits(F.col("margin"))))
+    return judged.select("row_id", "label", "predicted_label", F.round("confidence", 6).alias("confidence"))
 
 
 @query("mlp_batch_predict")
@@ -294,22 +301,14 @@ def _linear(spark, path):
     return rounded(anomaly.reconstruction_errors(coded).select("vec_id", "recon_mse", "recon_max_abs"))
 
 
-def given_layers(width: int, seed: int = 42) -> list[anomaly.Layer]:
-    """Weights of the 128-64-32-12 coder and its mirror, drawn from a seed."""
-    rng = np.random.default_rng(seed)
-    sizes = [width, 128, 64, 32, 12, 32, 64, 128, width]
-    out = []
-    for i, (a, b) in enumerate(zip(sizes, sizes[1:])):
-        slope = None if b in (12,) or i == len(sizes) - 2 else 0.1
-        out.append(anomaly.Layer(rng.normal(0, 1 / np.sqrt(a), (b, a)), np.zeros(b), slope=slope))
-    return out
-
-
 @query("reconstruct_network")
 def _network(spark, path):
+    """A network whose weights, fitted on the vectors, stand in a table of the scratch folder."""
     rows = vectors(spark, path).withColumnRenamed("embedding", "x")
-    width = len(rows.first()["x"])
-    coded = anomaly.reconstruct(rows, given_layers(width))
+    values, layout = network.network_tables(spark, network.coder_of(matrix.fit_pca(rows, "x", 12)))
+    place = scratch_path(spark, "network")
+    values.write.parquet(place)
+    coded = anomaly.reconstruct(rows, network.load_network(spark.read.schema(network.VALUES).parquet(place), layout))
     return rounded(anomaly.reconstruction_errors(coded).select("vec_id", "recon_mse", "recon_max_abs"))
 
 

@@ -6,7 +6,7 @@ types); see ``feature_skew`` for a report of where they disagree.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -120,12 +120,14 @@ def text_features(
     add_special: bool = False,
     max_length: int = 20000,
     keep_text: bool = False,
+    count_tokens: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Append the profile's feature columns; narrow, no shuffle, no Python.
 
     Long texts are scanned by a regex few times: the counts run on ``_marks``,
     the text with every run of letters, digits and spaces replaced by one space.
-    Token counts are whitespace tokens, plus two if ``add_special``.
+    Token counts are whitespace tokens, or those of ``count_tokens`` on the normalised
+    text (see ``subword_counter``), plus two if ``add_special``.
     """
     if profile not in MARKDOWN:
         raise ValueError(f"Unknown profile: {profile}")
@@ -156,7 +158,8 @@ def text_features(
             "_blanks": n - F.length(spaced) + count_char(spaced, " "),
         }
     )
-    staged = staged.withColumn("_tokens", words + (2 if add_special else 0))
+    counted = words if count_tokens is None else count_tokens(t)
+    staged = staged.withColumn("_tokens", counted + (2 if add_special else 0))
 
     zero_words = F.lit(0.0) if serve else tokens.cast("double")
     values: dict[str, Column] = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -134,21 +135,34 @@ def reconstruct_linear(df: DataFrame, pca: PcaProjection, x: str = "x", out: str
     return df.withColumn(out, back(F.col(x)))
 
 
+#: Slope below zero that an activation has unless one is given (None: not piecewise linear).
+ACTIVATIONS = {"linear": None, "relu": 0.0, "leaky_relu": 0.01, "elu": None, "gelu": None}
+
+
+def erf(x: np.ndarray) -> np.ndarray:
+    return np.array([math.erf(v) for v in x.ravel()]).reshape(x.shape)
+
+
 @dataclass(frozen=True)
 class Layer:
     """Given weights of one dense layer; batch-norm as scale and shift, and the
-    slope of a leaky ReLU (None: linear output)."""
+    slope of a leaky ReLU (None: linear output, or the activation named)."""
 
     weight: np.ndarray
     bias: np.ndarray
     scale: np.ndarray | None = None
     shift: np.ndarray | None = None
     slope: float | None = None
+    activation: str = "leaky_relu"
 
     def forward(self, x: np.ndarray) -> np.ndarray:
         y = x @ self.weight.T + self.bias
         if self.scale is not None:
             y = y * self.scale + self.shift
+        if self.activation == "elu":
+            return np.where(y > 0, y, np.expm1(np.minimum(y, 0.0)))
+        if self.activation == "gelu":
+            return 0.5 * y * (1.0 + erf(y / math.sqrt(2.0)))
         return y if self.slope is None else np.where(y > 0, y, self.slope * y)
 
 

@@ -81,58 +81,65 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def label_conflicts(df: DataFrame, text_col: str = "prompt") -> DataFrame:
-    """Texts that carry more than one distinct label, with the number of labels.
-
-    Digests tell which texts conflict; only those texts are grouped in full."""
-    keyed = df.withColumn("_digest", content_digest(F.col(text_col)))
-    rows = null_safe_join(keyed, found_conflicts(df, text_col), ["_digest"], "left_semi")
-    pairs = rows.groupBy(text_col, "label").agg(F.count("*").alias("_n"))
-    return pairs.groupBy(text_col).agg(F.count("label").alias("n_unique_labels"))
+def keyed(df: DataFrame, text_col: str = "prompt") -> DataFrame:
+    """``df`` with ``_digest``, written once: what normalises its texts runs once, however
+    many of the steps below read them."""
+    return materialise(df.withColumn("_digest", content_digest(F.col(text_col))))
 
 
-def conflict_digests(df: DataFrame, text_col: str = "prompt") -> DataFrame:
+def conflict_digests(rows: DataFrame) -> DataFrame:
     """Digests of conflicting texts.  Only 32-byte keys are shuffled, and
     min/max pre-aggregate, so a text with a third of the rows is no hot key."""
-    return (
-        df.groupBy(content_digest(F.col(text_col)).alias("_digest"))
-        .agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"))
-        .where(F.col("_lo") != F.col("_hi"))
-        .select("_digest")
-    )
+    range_ = rows.groupBy("_digest").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"))
+    return range_.where(F.col("_lo") != F.col("_hi")).select("_digest")
 
 
-def found_conflicts(df: DataFrame, text_col: str = "prompt") -> DataFrame:
-    """The conflict digests, computed once; broadcast if at most
+def found_conflicts(rows: DataFrame) -> DataFrame:
+    """The conflict digests of ``keyed`` rows, computed once; broadcast if at most
     ``BROADCAST_DIGESTS``.  Beyond, the checkpointed table is joined by shuffle
     with nothing between join and exchange, so AQE can split a hot text."""
-    found = materialise(conflict_digests(df, text_col))
+    found = materialise(conflict_digests(rows))
     return F.broadcast(found) if found.count() <= BROADCAST_DIGESTS else found
 
 
+def conflicting_rows(rows: DataFrame) -> DataFrame:
+    return null_safe_join(rows, found_conflicts(rows), ["_digest"], "left_semi")
+
+
+def counted_labels(rows: DataFrame, text_col: str) -> DataFrame:
+    pairs = rows.groupBy(text_col, "label").agg(F.count("*").alias("_n"))
+    return pairs.groupBy(text_col).agg(F.count("label").alias("n_unique_labels"))
+
+
+def label_conflicts(df: DataFrame, text_col: str = "prompt") -> DataFrame:
+    """Texts that carry more than one distinct label, with the number of labels.
+
+    Digests tell which texts conflict; only those texts are grouped in full."""
+    return counted_labels(conflicting_rows(keyed(df, text_col)), text_col)
+
+
 def drop_conflicts(df: DataFrame, text_col: str = "prompt") -> DataFrame:
     """Remove every row of a conflicting text."""
-    keyed = df.withColumn("_digest", content_digest(F.col(text_col)))
-    return keyed.join(found_conflicts(df, text_col), "_digest", "left_anti").drop("_digest")
+    rows = keyed(df, text_col)
+    return rows.join(found_conflicts(rows), "_digest", "left_anti").drop("_digest")
 
 
 def conflict_examples(df: DataFrame, n: int = 5, text_col: str = "prompt") -> DataFrame:
     """All rows of the first ``n`` conflicting texts, sorted by text."""
-    first = materialise(label_conflicts(df, text_col).select(text_col).orderBy(text_col).limit(n))
-    return null_safe_join(df, F.broadcast(first), [text_col], "left_semi").orderBy(text_col)
+    rows = conflicting_rows(keyed(df, text_col))
+    first = materialise(counted_labels(rows, text_col).select(text_col).orderBy(text_col).limit(n))
+    return null_safe_join(rows, F.broadcast(first), [text_col], "left_semi").drop("_digest").orderBy(text_col)
 
 
 def clean(df: DataFrame, text_col: str = "prompt") -> DataFrame:
     """Drop empty, normalise, drop exact duplicate rows, drop conflicting texts.
 
-    Texts are shuffled once, for the duplicates; after that a text has at most
-    one row per label and source, so the anti-join on it has no hot key.  The
-    conflicts are found on digests of the rows before deduplication, which has
-    no influence on them."""
-    ready = normalize_prompts(drop_empty_prompts(df, text_col), text_col)
-    distinct = drop_exact_duplicates(ready)
-    keyed = distinct.withColumn("_digest", content_digest(F.col(text_col)))
-    return keyed.join(found_conflicts(ready, text_col), "_digest", "left_anti").drop("_digest")
+    Texts are normalised once and shuffled once, for the duplicates; the conflicts
+    are found on digests of the rows before deduplication, which has no influence on
+    them, and leave before the shuffle."""
+    rows = keyed(normalize_prompts(drop_empty_prompts(df, text_col), text_col), text_col)
+    kept = rows.join(found_conflicts(rows), "_digest", "left_anti")
+    return drop_exact_duplicates(kept).drop("_digest")
 
 
 def _digest_table(ready: DataFrame, text_col: str) -> DataFrame:

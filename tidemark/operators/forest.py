@@ -134,6 +134,28 @@ class IsolationForest:
         return score_all(df, [self], col, "_if").withColumn(out, F.get("_if", F.lit(0))).drop("_if")
 
 
+def score_many(df: DataFrame, forests: Sequence[IsolationForest | StoredForest], col: str = "features", out: str = "if_score") -> DataFrame:
+    """One row per row of ``df`` and forest: its columns, ``model`` (place in ``forests``) and ``out``.
+
+    Forests that differ in their threshold are run once; those that travel to the
+    tasks share Arrow passes of at most ``MAX_MODEL_ROWS`` sampled rows."""
+    raw = {id(f.trees): f for f in forests if isinstance(f, IsolationForest)}
+    passes: list[list[int]] = [[]]
+    for key, f in raw.items():
+        if passes[-1] and sum(len(raw[k].trees) * raw[k].samples for k in passes[-1]) + len(f.trees) * f.samples > MAX_MODEL_ROWS:
+            passes.append([])
+        passes[-1].append(key)
+    parts = []
+    for keys in filter(None, passes):
+        place = {key: i for i, key in enumerate(keys)}
+        mine = [(n, place[id(f.trees)], f.offset) for n, f in enumerate(forests) if isinstance(f, IsolationForest) and id(f.trees) in place]
+        scored = materialise(score_all(df, [replace(raw[k], offset=0.0) for k in keys], col, "_raw"))
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), (F.get("_raw", F.lit(i)) - F.lit(float(o))).alias(out)) for n, i, o in mine]))
+        parts.append(scored.withColumn("_each", each).select(*df.columns, "_each.*"))
+    parts += [f.score(df, col, out).select(*df.columns, F.lit(n).alias("model"), out) for n, f in enumerate(forests) if isinstance(f, StoredForest)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def score_all(df: DataFrame, forests: Sequence[IsolationForest], col: str, out: str) -> DataFrame:
     """``df`` with the scores of several forests as an array, in one Arrow pass."""
 
@@ -295,8 +317,11 @@ def grow_small(df: DataFrame, id_col: str, col: str, wanted: Mapping[tuple, int]
         grown = [(number, tree, grow_tree(x, copies, tree_features(seed, tree, width, share), seed, tree, 1, limit)) for share, number in shares]
         return pd.DataFrame([{"forest": number, "tree": t, **arrays} for number, t, arrays in grown])
 
-    rows = reduce(DataFrame.unionByName, parts).groupBy("sample", "tree").applyInPandas(grow, f"forest int, tree int, {ARRAYS}").orderBy("forest", "tree").collect()
-    return {key: IsolationForest(tuple(arrays_of(r) for r in rows if r["forest"] == number), key[0].per_tree) for key, number in wanted.items()}
+    grown = reduce(DataFrame.unionByName, parts).groupBy("sample", "tree").applyInPandas(grow, f"forest int, tree int, {ARRAYS}").orderBy("forest", "tree").toArrow()
+    owner = grown["forest"].to_numpy()
+    columns = {c: grown[c].combine_chunks() for c in ("feature", "cut", "left", "right", "path")}
+    tree = lambda i: arrays_of({c: a[i].values.to_numpy() for c, a in columns.items()})
+    return {key: IsolationForest(tuple(tree(int(i)) for i in np.flatnonzero(owner == number)), key[0].per_tree) for key, number in wanted.items()}
 
 
 def partial_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

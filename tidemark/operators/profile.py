@@ -108,12 +108,8 @@ def score_density(df: DataFrame, score: str, by: str = "label", bins: int = 50)
 def boxplot_stats(df: DataFrame, col: str, by: str = "label") -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (extreme values inside the fences) and outliers.
 
-    Works on (group, value, count) rows, far fewer than the input rows."""
-    counts = df.groupBy(by, F.col(col).cast("double").alias("v")).agg(
-        F.count("*").alias("n")
-    )
-    probs = F.array(*[F.lit(p) for p in QUARTILES])
-    quart = counts.groupBy(by).agg(F.percentile("v", probs, F.col("n")).alias("q"))
+    Whiskers and outliers come from (group, value, count) rows, summed per task."""
+    quart = exact_quantiles(df, [col], QUARTILES, [by]).withColumnRenamed(col, "q")
     quart = quart.select(
         by,
         F.col("q")[0].alias("q25"),
@@ -121,6 +117,9 @@ def boxplot_stats(df: DataFrame, col: str, by: str = "label") -> DataFrame:
         F.col("q")[2].alias("q75"),
         (F.col("q")[2] - F.col("q")[0]).alias("iqr"),
     )
+    counts = df.groupBy(by, F.col(col).cast("double").alias("v")).agg(
+        F.count("*").alias("n")
+    )
     joined = null_safe_join(counts, small_table(quart), [by])
     inside = F.col("v").between(F.col("q25") - 1.5 * F.col("iqr"), F.col("q75") + 1.5 * F.col("iqr"))
     return joined.groupBy(by, "q25", "median", "q75", "iqr").agg(

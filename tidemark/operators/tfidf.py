@@ -365,7 +365,7 @@ def fit_squared_hinge(rows: DataFrame, size: int, cost: float = 1.0, tolerance:
 def fit_tfidf_svm(
     train: DataFrame, text_col: str = "prompt", max_features: int = 10_000,
     ngrams: tuple[int, int] = (1, 3), max_iter: int = 100, cost: float = 1.0,
-    labels: Sequence[int] = (0, 1),
+    labels: Sequence[int] = (0, 1), tolerance: float = 1e-4,
 ) -> TfIdfSvm:
     """Linear SVM of squared hinge loss with balanced class weights on TF-IDF rows."""
     model = fit_tfidf(train, text_col, max_features, ngrams)
@@ -373,5 +373,5 @@ def fit_tfidf_svm(
     rows = model.transform(weighted, text_col).select(
         "tfidf.indices", "tfidf.weights", F.when(F.col("label") == labels[1], 1.0).otherwise(-1.0).alias("y"), F.col("weight").cast("double")
     )
-    w = fit_squared_hinge(materialise(rows), len(model.vocabulary), cost, max_iter=max_iter)
+    w = fit_squared_hinge(materialise(rows), len(model.vocabulary), cost, tolerance, max_iter)
     return TfIdfSvm(model, w[:-1], float(w[-1]))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.evaluate import (
     average_precision_from, curve_table, grid_winner, roc_auc_from, tune_threshold_from,
 )
-from tidemark.operators.forest import fit_isolation_forest
-from tidemark.operators.neighbours import fit_lof
+from tidemark.operators.forest import fit_isolation_forests, score_many
+from tidemark.operators.neighbours import lof_scores
 from tidemark.session import materialise
 
 # --- fixed values: the two detector grids
@@ -34,20 +34,19 @@ def grid(options: Mapping[str, Iterable]) -> list[dict]:
 def candidate_scores(train: DataFrame, val: DataFrame, id_col: str, col: str, forests=(), lofs=()) -> DataFrame:
     """``run, model, params, label, score`` of every candidate on the validation rows.
 
-    The loop runs over candidates, not rows; each score column is one Arrow pass."""
+    Candidates share their work: forests of one structure are grown once and scored in
+    common passes, and the factors of one metric come from one search."""
     train, val = materialise(train.select(id_col, col)), materialise(val.select(id_col, "label", col))
+    forests, lofs = list(forests), list(lofs)
     parts = []
-    for params in forests:
-        scored = fit_isolation_forest(train, id_col, col, **params).score(val, col, "score")
-        parts.append(("Isolation Forest", params, scored))
-    for params in lofs:
-        model, _ = fit_lof(train, id_col, col, **params)
-        parts.append(("Local Outlier Factor", params, model.score(val, col, "score")))
-    rows = [
-        df.select(F.lit(i).alias("run"), F.lit(name).alias("model"), F.lit(str(params)).alias("params"), "label", "score")
-        for i, (name, params, df) in enumerate(parts)
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    if forests:
+        scored = score_many(val, fit_isolation_forests(train, id_col, col, forests), col, "score")
+        parts.append(scored.select(F.col("model").alias("run"), F.lit("Isolation Forest").alias("model"), "label", "score"))
+    if lofs:
+        scored = lof_scores(train, val, id_col, col, lofs)
+        parts.append(scored.select((F.col("model") + len(forests)).alias("run"), F.lit("Local Outlier Factor").alias("model"), "label", "score"))
+    told = F.element_at(F.array(*[F.lit(str(p)) for p in forests + lofs]), F.col("run") + 1)
+    return reduce(DataFrame.unionByName, parts).select("run", "model", told.alias("params"), "label", "score")
 
 
 def detector_board(scores: DataFrame, objective: str = "f1", min_recall: float = 0.70) -> DataFrame:
