@@ -233,3 +233,62 @@ def test_clusters_of_odd_tables(spark):
     own, d, centres = brute_clusters(np.array(whole), np.array([c for _, c in start[:2]]), 3)
     got = run(odd + good, 2)
     assert np.array_equal(got.centres, centres) and sum(r["distance"] for r in got.rows.collect()) == d.sum()
+
+
+def test_decontamination_keys_rows_by_their_text(spark, frame):
+    """Rows without an id, and rows that share one, are judged by their own text."""
+    from tidemark.llm import decontaminate
+
+    item = prose("leak", 12)
+    docs = frame([(1, f"x y {item}"), (1, "three clean words"), (None, item), (None, "clean"), (2, None), (3, item), (3, item)])
+    items = frame([(9, item)], "item_id long, text string")
+    got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["contaminated"]) for r in decontaminate.contamination(docs, items).collect())
+    assert got == Counter([(1, 14, 12, True), (1, 3, 0, False), (None, 12, 12, True), (None, 1, 0, False), (2, 0, 0, False), (3, 12, 12, True), (3, 12, 12, True)])
+    left = decontaminate.without_benchmark(docs.withColumn("text_key", F.lit("clash")), items)
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(1, "three clean words"), (None, "clean"), (2, None)])
+    assert left.columns == ["doc_id", "text", "text_key"]
+
+
+def test_word_ids_equal_the_library(monkeypatch):
+    """Words of every kind, with memories that hold almost nothing."""
+    from tidemark.llm import sentencepiece_codec, token_output
+    from tidemark.llm.queries import PIECE_MODEL, WORD_MODEL, vocabulary
+
+    rng = random.Random(5)
+    signs = "abcxyzAÉéßÿÀÞ×÷0123'.,*#<|>&%$-_~ \n\t ̈́ﬁΣσİ"
+    made = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + [prose(i, 300) for i in range(20)]
+    with open(vocabulary(WORD_MODEL), encoding="utf-8") as f:
+        words = token_output.Vocabulary(f.read(), 2)
+    monkeypatch.setattr(token_output, "GENERATION", 2000)
+    for at in range(0, len(made), 64):
+        part = made[at : at + 64]
+        raw = words.encode([t.encode() for t in part])
+        assert [np.frombuffer(r, "<u2").tolist() for r in raw] == [words.library.encode(t, add_special_tokens=False).ids for t in part]
+        assert words.size <= 2000
+    with open(vocabulary(PIECE_MODEL), "rb") as f:
+        codec = sentencepiece_codec.Codec(f.read())
+    memory = sentencepiece_codec.Memory(codec)
+    monkeypatch.setattr(sentencepiece_codec, "GENERATION", 2000)
+    for t in made:
+        assert [i for s in sentencepiece_codec.stretches(t) for i in memory[s]] == codec.library.encode(t)
+        memory.check()
+        assert memory.size <= 2000
+
+
+def test_repeats_around_a_common_line(frame):
+    """Pairs that share a lead-in and a line of 440 documents, fifty equal words and more in all."""
+    from tidemark.llm import suffix_dedup
+
+    line = prose("line", 40)
+    docs = [(i, f"{prose(f'before{i}', 25)} {line} {prose(f'after{i}', 25)}") for i in range(400)]
+    for k in range(20):
+        lead = prose(f"lead{k}", 12)
+        docs += [(1000 + 2 * k + j, f"{prose(f'x{k}{j}', 20)} {lead} {line} {prose(f'y{k}{j}', 20)}") for j in (0, 1)]
+    docs += [(2000 + j, f"{prose(f'u{j}', 20)} {line} {prose('tail', 11)} {prose(f'v{j}', 20)}") for j in (0, 1)]  # to the right, too
+    got = {r["doc_id"]: r for r in suffix_dedup.passage_summary(frame(docs)).collect()}
+    for k in range(20):
+        for j in (0, 1):
+            r = got[1000 + 2 * k + j]
+            assert r["partner"] == 1000 + 2 * k + (1 - j) and r["spans"] == "20:72" and r["n_words"] == 52, (k, j, r)
+    assert [got[2000 + j]["spans"] for j in (0, 1)] == ["20:71", "20:71"]
+    assert not any(got[i]["repeated"] for i in range(400))

@@ -10,6 +10,14 @@ Neighbours of other documents are compared: the common words to the right and to
 the left of the position give the match.  Intervals of ``LENGTH`` words or more are
 united, which gives whole passages of any length.
 
+Around a line that very many documents share, the order by the words to the right can
+part two documents that agree on the words to the left.  A suffix whose farthest
+compared neighbours still agree with it on so many words that a match could lie beyond
+them, and that has no match as long as a comparison can find, is crowded.  For crowded
+suffixes, and only for them, each window of ``LENGTH`` words that holds the position is
+grouped by its hash over all documents, with pre-aggregated least and greatest document.
+Equal windows thus always meet, however many suffixes stand between them.
+
 Partition borders are compared from the few rows that each partition has at its
 ends; these are as many as there are partitions, whatever the corpus size.
 """
@@ -109,9 +117,9 @@ def common_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.all(axis=1), a.shape[1], same.argmin(axis=1))
 
 
-def neighbour_matches(rows: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Intervals of sorted suffixes that a neighbour of another document repeats:
-    ``doc_id, start, end, partner``."""
+def neighbour_matches(rows: pd.DataFrame, length: int) -> tuple[pd.DataFrame, np.ndarray]:
+    """Intervals of sorted suffixes that a neighbour of another document repeats
+    (``doc_id, start, end, partner``), and which rows are crowded."""
     n = len(rows)
     ids, pos = rows["doc_id"].to_numpy(), rows["pos"].to_numpy().astype(np.int64)
     blobs = list(rows["right"]), list(rows["left"])
@@ -129,16 +137,37 @@ def neighbour_matches(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     i, j = np.concatenate([i, back]), np.concatenate([j, ends[back]])
     good = (j >= 0) & (ids[i] != ids[np.maximum(j, 0)])
     i, j = i[good], j[good]
-    out = []
+    out, whole = [], np.zeros(n, bool)
     for at in range(0, len(i), 20_000):
         a, b = i[at : at + 20_000], j[at : at + 20_000]
         right, left = (common_words(sides[0][k][a], sides[1][k][b]) for k in (0, 1))
         hit = right + left >= length
         a, b, right, left = a[hit], b[hit], right[hit], left[hit]
+        most = (right == length) & (left == LEFT)
+        whole[a[most]] = whole[b[most]] = True
         for x, y in ((a, b), (b, a)):
             out.append(pd.DataFrame({"doc_id": ids[x], "start": pos[x] - left, "end": pos[x] + right, "partner": ids[y]}))
+    crowded = np.zeros(n, bool)
+    here = np.arange(n)
+    for far in (np.maximum(here - NEAREST, 0), np.minimum(here + NEAREST, n - 1)):
+        # the outermost suffix compared on this side, or the last one at hand
+        crowded |= common_words(sides[0][0], sides[0][0][far]) >= length - LEFT if n else crowded
     empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc_id", "start", "end", "partner")})
-    return pd.concat(out or [empty]).drop_duplicates()
+    return pd.concat(out or [empty]).drop_duplicates(), crowded & ~whole
+
+
+def window_matches(crowded: DataFrame, length: int) -> DataFrame:
+    """``doc_id, start, end, partner``: windows of ``length`` words around the positions of
+    ``crowded`` (doc_id, pos, right, left), with at least one word to the left, that
+    another document has."""
+    l = F.col("l")  # noqa: E741
+    held = (F.length("left") >= 4 * l) & (F.length("right") >= 4 * (length - l))
+    key = F.xxhash64("l", F.substring("left", 1, 4 * l), F.substring("right", 1, 4 * (length - l)))
+    each = crowded.withColumn("l", F.explode(F.sequence(F.lit(1), F.lit(LEFT)))).where(held)
+    each = stored(each.select("doc_id", (F.col("pos") - l).cast("long").alias("start"), key.alias("key")), "crowded-windows")
+    shared = each.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    partner = F.when(F.col("doc_id") == F.col("least"), F.col("most")).otherwise(F.col("least"))
+    return each.join(stored(shared, "shared-windows"), "key").select("doc_id", "start", (F.col("start") + length).alias("end"), partner.alias("partner"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -169,8 +198,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             if not len(batch):
                 continue
             rows = batch if before is None else pd.concat([before, batch], ignore_index=True)
-            found = neighbour_matches(rows, length)
+            found, crowded = neighbour_matches(rows, length)
             yield found.assign(part=part, edge=0, pos=0, right=b"", left=b"")
+            full = rows[crowded].assign(part=part, edge=3, start=0, end=0, partner=0)
+            yield full[["doc_id", "start", "end", "partner", "part", "edge", "pos", "right", "left"]]
             # the last suffixes, and one of another document, meet the next batch
             other = np.flatnonzero(rows["doc_id"].to_numpy() != rows["doc_id"].iloc[-1])
             tail = rows.iloc[sorted({*range(max(0, len(rows) - NEAREST), len(rows)), *other[-1:]})]
@@ -186,12 +217,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sorted_rows = stored(ranged.mapInPandas(run, schema), "suffix-matches")
     found = sorted_rows.where("edge = 0").select("doc_id", "start", "end", "partner")
     # a few rows a partition
-    edges = sorted_rows.where("edge > 0").select("part", "edge", "doc_id", "pos", "right", "left").toPandas()
+    edges = sorted_rows.where("edge IN (1, 2)").select("part", "edge", "doc_id", "pos", "right", "left").toPandas()
     if len(edges):
         edges = edges.sort_values(["right", "doc_id", "pos"], kind="stable").drop_duplicates(["doc_id", "pos"])
-        more = neighbour_matches(edges.reset_index(drop=True), length)
+        more, _ = neighbour_matches(edges.reset_index(drop=True), length)
         if len(more):
             found = found.unionByName(spark.createDataFrame(more.astype("int64")).select("doc_id", "start", "end", "partner"))
+    crowded = sorted_rows.where("edge = 3").select("doc_id", "pos", "right", "left").distinct()
+    found = found.unionByName(window_matches(crowded, length))
     return found.withColumn("earlier", F.col("partner") < F.col("doc_id")).distinct()
 
 
