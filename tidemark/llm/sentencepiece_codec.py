@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import byte_slices, worker_cache
 
 MARK = "▁"
-GENERATION = 56 << 20  # bytes of stretches and ids, estimated; a worker keeps two generations
+GENERATION = 32 << 20  # bytes of stretches and ids, estimated; a worker keeps two generations
 SHORT, NEVER = 48, 1 << 60
 
 
