@@ -236,3 +236,17 @@ def test_svm_on_held_out_texts(spark):
     out = tfidf.fit_tfidf_svm(train).predict(test).select(F.lit("svm").alias("method"), "label", "pred")
     scores = evaluate.summary_scores(out, ["method"]).first().asDict()
     assert scores["macro_f1"] > 0.95
+
+
+def test_lists_are_worked_on_in_bounded_slices(spark):
+    import pyarrow as pa
+
+    lists = [[f"w{i}{j}" for j in range(i * 7 % 40)] for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string())), pa.array(range(200))], ["words", "id"]).slice(3)
+    parts = list(tfidf.list_slices(batch, 90))
+    assert all(len(p.column(0).flatten()) <= 90 for p in parts) and len(parts) > 30
+    assert pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches([batch]).to_pylist()
+    one = lambda b: np.sort(np.concatenate([h for _, h, _, _ in tfidf.hashed_ngrams(b.column(0), (1, 3))]))
+    assert (np.sort(np.concatenate([one(p) for p in parts])) == one(batch)).all()
+    long = list(tfidf.list_slices(batch, 5))  # a row is never cut
+    assert sum(p.num_rows for p in long) == batch.num_rows

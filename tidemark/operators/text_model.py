@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.build import with_class_weight
-from tidemark.operators.tfidf import with_terms, with_words
+from tidemark.operators.tfidf import list_slices, with_terms, with_words
 from tidemark.session import materialise
 
 BITS, NGRAMS = 16, (1, 2)
@@ -81,7 +82,7 @@ def macro_f1(rows: DataFrame, w: np.ndarray) -> float:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(4, np.int64)
-        for batch in batches:
+        for batch in chain.from_iterable(map(list_slices, batches)):
             part = dict(zip(batch.schema.names, batch.columns))
             pred = margins(part["indices"], part["counts"], w) > 0
             seen += np.bincount(2 * part["y"].to_numpy().astype(int) + pred, minlength=4)
@@ -108,7 +109,8 @@ class HashedClassifier:
         def margin(indices: pd.Series, values: pd.Series) -> pd.Series:
             if not len(indices):
                 return pd.Series([], dtype=float)
-            return pd.Series(margins(pa.array(indices, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), w))
+            rows = pa.RecordBatch.from_arrays([pa.array(indices, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["indices", "counts"])
+            return pd.Series(np.concatenate([margins(*part.columns, w) for part in list_slices(rows)]))
 
         rows = hashed_rows(df, text_col, self.bits, self.ngrams)
         return rows.withColumn(out, margin("indices", "counts")).select(*[c for c in df.columns if c != out], out)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,7 @@ from tidemark.session import materialise
 SUMMARY = 500_000  # n-grams that a task's summary keeps between batches: 8 MB
 MAX_SUMMARY = 4_000_000
 CANDIDATES = 500_000  # hashes that travel to the tasks
+CELLS = 500_000  # words, or entries of sparse rows, that a task works on at once
 
 
 def with_words(df: DataFrame, text_col: str = "prompt", accents: bool = True) -> DataFrame:
@@ -96,6 +98,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def list_slices(batch: pa.RecordBatch, limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices whose lists, in the first column, hold about ``limit`` entries
+    together; a row is never cut.  Working arrays are as large as a slice, whatever the
+    size of a batch."""
+    limit = limit or CELLS
+    limits = batch.column(0).offsets.to_numpy()
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(limits, limits[lo] + limit, side="right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def hashed_ngrams(words: pa.ListArray, ngrams: tuple[int, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
     """For each size n: n, the hashes of the n-grams of a batch of word lists, the place
     of their first word, and the words."""
@@ -129,7 +144,7 @@ def summary(words: DataFrame, ngrams: tuple[int, int], size: int) -> tuple[DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, error = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        for batch in batches:
+        for batch in chain.from_iterable(map(list_slices, batches)):
             new = [h for _, h, _, _ in hashed_ngrams(batch.column(0), ngrams)]
             keys, counts = folded(np.concatenate([keys, *new]), np.concatenate([counts, np.ones(sum(map(len, new)), np.int64)]))
             if len(keys) > 2 * size:
@@ -163,7 +178,7 @@ def candidate_hashes(words: DataFrame, max_features: int, ngrams: tuple[int, int
                 return np.sort(rows.view(np.uint64))
         if not error or size >= MAX_SUMMARY:
             return None
-        size *= 4
+        size = min(4 * size, MAX_SUMMARY)
 
 
 def candidate_counts(words: DataFrame, wanted: np.ndarray, ngrams: tuple[int, int]) -> DataFrame:
@@ -173,7 +188,7 @@ def candidate_counts(words: DataFrame, wanted: np.ndarray, ngrams: tuple[int, in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_all, n_docs, term = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64), np.full(len(wanted), None, object)
-        for batch in batches:
+        for batch in chain.from_iterable(map(list_slices, batches)):
             limits = batch.column(0).offsets.to_numpy()
             owner = np.repeat(np.arange(batch.num_rows), np.diff(limits))
             for n, h, place, flat in hashed_ngrams(batch.column(0), ngrams):
@@ -284,9 +299,7 @@ def hinge_parts(rows: DataFrame, w: np.ndarray, direction: np.ndarray | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, out = 0.0, np.zeros(size)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in chain.from_iterable(map(list_slices, batches)):
             part = dict(zip(batch.schema.names, batch.columns))
             length = np.diff(part["indices"].offsets.to_numpy())
             at, x = part["indices"].flatten().to_numpy(), part["weights"].flatten().to_numpy()
