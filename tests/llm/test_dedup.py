@@ -161,3 +161,44 @@ def test_passages_of_empty_and_repeated_tables(frame):
         text = prose("k", 90)
         df = frame([(1, text), (1, text), (None, text), (2, None)]).withColumn("pos", F.lit("x"))
         assert sorted((r["doc_id"] or 0, r["repeated"]) for r in summary(df).collect()) == [(0, False), (1, False), (1, False), (2, False)]
+
+
+def test_passages_whose_parts_stand_in_earlier_documents(frame):
+    """No link is lost to the first documents that hold a part, few or many of them."""
+    words = prose("whole", 70).split()
+    few = [(0, words[:35]), (1, words[35:]), (7, words), (9, [*prose("x", 40).split(), *words])]
+    other = prose("crowded", 70).split()
+    parts = [(20 + i, [*prose(f"p{i}", 20).split(), *(other[:36] if i % 2 else other[34:])]) for i in range(90)]
+    many = [*parts, (200, [*prose("y", 30).split(), *other]), (201, [*prose("z", 45).split(), *other])]
+    edited = prose("edited", 80).split()
+    changed = [f"new{i}" if i % 9 == 4 else w for i, w in enumerate(edited)]
+    fuzzy = [(300, edited[:40]), (301, edited[40:]), (302, edited), (303, [*prose("v", 30).split(), *changed])]
+    rows = [(i, " ".join(w)) for i, w in few + many + fuzzy]
+    got = {(r["a"], r["b"]): r["equal"] for r in chain_dedup.fuzzy_passages(frame(rows)).collect()}
+    assert set(got) == {(7, 9), (200, 201), (302, 303)} and got[7, 9] == got[200, 201] == 70 and got[302, 303] >= 66
+    summary = {r["doc_id"]: r["n_removable"] for r in chain_dedup.fuzzy_summary(frame(rows)).collect()}
+    assert summary[9] == summary[201] == 70 and summary[7] == summary[200] == 0
+
+
+def test_matches_do_not_depend_on_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = np.array(sorted((int(k), int(d), p) for p, (k, d) in enumerate(zip(rng.choice([1, 2, 3, 4, 5], 600, p=[0.7, 0.2, 0.06, 0.03, 0.01]), rng.integers(0, 300, 600)))))
+    cols = [pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(np.full(600, 4, np.int32))]
+    whole = pa.RecordBatch.from_arrays(cols, ["h", "doc_id", "pos", "span"])
+
+    def matches(step):
+        parts = [whole.slice(i, step) for i in range(0, 600, step)]
+        return sorted(tuple(r.values()) for b in chain_dedup.seed_matches(iter(parts)) for r in b.to_pylist())
+
+    want = []
+    for k in range(1, 6):
+        group = [(int(d), int(p)) for h, d, p in rows if h == k]
+        for i, (d, p) in enumerate(group):
+            for e, q in group[:i] if i < chain_dedup.CROWD else group[:1]:
+                want += [(e, d, q, p, 4, False)] if e < d else []
+            want += [(d, d, p, p, 4, True)] if len(group) > chain_dedup.CROWD else []
+    for step in (600, 1, 7, 40, 100):
+        assert matches(step) == sorted(want)
