@@ -250,3 +250,32 @@ def test_lists_are_worked_on_in_bounded_slices(spark):
     assert (np.sort(np.concatenate([one(p) for p in parts])) == one(batch)).all()
     long = list(tfidf.list_slices(batch, 5))  # a row is never cut
     assert sum(p.num_rows for p in long) == batch.num_rows
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_search_in_a_grid_equals_the_plain_one(spark, monkeypatch, p):
+    """Rows that no tree parts are met in cells, each row sent once for a cell."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.random((700, 24)), 2)
+    x[600:650] = x[:50]
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
+    rows = points(spark, x)
+    tree, used = neighbours.blocks(rows, p, 6), []
+    plain = neighbours.Blocks.search_grid
+    monkeypatch.setattr(neighbours.Blocks, "search_grid", lambda *a: used.append(a[3:]) or plain(*a))
+    got = sorted(map(tuple, tree.search(rows.select(F.col("id").alias("row"), "x"), 6, True).collect()))
+    i, near, d = neighbours.nearest(x, np.arange(700), x, np.arange(700), 6, p)
+    assert used == [(700, 700)] and got == sorted(zip(i.tolist(), near.tolist(), d.tolist()))
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_nearest_within_a_bound(p):
+    rng = np.random.default_rng(2)
+    for scale in (1e-6, 1.0, 1e6, 1e18):
+        x, y = scale * (3 + rng.random((40, 10))), scale * (3 + rng.random((900, 10)))
+        y[5] = y[6] = x[0]
+        i, near, d = neighbours.nearest(x, np.full(40, -1), y, np.arange(900), 7, p)
+        bound = d.reshape(40, 7)[:, -1] * rng.choice([1.0, 1.2], 40)
+        bound[3] = np.nan
+        a, b, c = neighbours.nearest_within(x, np.full(40, -1), y, np.arange(900), 7, p, bound)
+        assert sorted(zip(a.tolist(), b.tolist(), c.tolist())) == sorted(zip(i.tolist(), near.tolist(), d.tolist()))
