@@ -279,3 +279,17 @@ def test_nearest_within_a_bound(p):
         bound[3] = np.nan
         a, b, c = neighbours.nearest_within(x, np.full(40, -1), y, np.arange(900), 7, p, bound)
         assert sorted(zip(a.tolist(), b.tolist(), c.tolist())) == sorted(zip(i.tolist(), near.tolist(), d.tolist()))
+
+
+def test_stored_forests_are_scored_once_for_all_thresholds(spark, monkeypatch):
+    df = points(spark, clustered(120, centres=4))
+    monkeypatch.setattr(forest, "MAX_MODEL_ROWS", 100)
+    settings = [{"trees": 4, "max_samples": 60, "contamination": c} for c in ("auto", 0.05, 0.1)]
+    calls, plain = [], forest.StoredForest.score
+    monkeypatch.setattr(forest.StoredForest, "score", lambda self, *a, **k: calls.append(1) or plain(self, *a, **k))
+    forests = forest.fit_isolation_forests(df, "id", "x", settings)
+    assert len(calls) == 1  # on the training rows
+    got = {(r["id"], r["model"]): r["s"] for r in forest.score_many(df, forests, "x", "s").collect()}
+    assert len(calls) == 2 and len(got) == 360
+    for n, f in enumerate(forests):
+        assert {i: got[i, n] for i in range(120)} == {r["id"]: pytest.approx(r["s"]) for r in f.score(df, "x", "s").collect()}

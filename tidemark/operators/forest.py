@@ -152,7 +152,14 @@ def score_many(df: DataFrame, forests: Sequence[IsolationForest | StoredForest],
         scored = materialise(score_all(df, [replace(raw[k], offset=0.0) for k in keys], col, "_raw"))
         each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), (F.get("_raw", F.lit(i)) - F.lit(float(o))).alias(out)) for n, i, o in mine]))
         parts.append(scored.withColumn("_each", each).select(*df.columns, "_each.*"))
-    parts += [f.score(df, col, out).select(*df.columns, F.lit(n).alias("model"), out) for n, f in enumerate(forests) if isinstance(f, StoredForest)]
+    alike: dict[int, list[int]] = {}  # forests that differ in their threshold only
+    for n, f in enumerate(forests):
+        if isinstance(f, StoredForest):
+            alike.setdefault(id(f.batches), []).append(n)
+    for mine in alike.values():
+        scored = materialise(replace(forests[mine[0]], offset=0.0).score(df, col, "_raw"))
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), (F.col("_raw") - F.lit(float(forests[n].offset))).alias(out)) for n in mine]))
+        parts.append(scored.withColumn("_each", each).select(*df.columns, "_each.*"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -294,11 +301,13 @@ def fit_isolation_forests(df: DataFrame, id_col: str, col: str, settings: Sequen
         if key not in forests:
             forests[key] = grow_large(df, id_col, col, *key, n, width, seed)
     raw = {k: replace(f, offset=0.0) for k, f in forests.items()}
-    out = []
+    out, scores = [], {}
     for s, key in zip(settings, keys):
         share, forest = s.get("contamination", "auto"), forests[key]
         if share != "auto":
-            forest = replace(forest, offset=quantile_value(raw[key].score(df.select(col), col), "if_score", 1.0 - float(share)))
+            if key not in scores:
+                scores[key] = materialise(raw[key].score(df.select(col), col).select("if_score"))
+            forest = replace(forest, offset=quantile_value(scores[key], "if_score", 1.0 - float(share)))
         out.append(forest)
     return out
 
