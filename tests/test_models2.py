@@ -222,3 +222,11 @@ def test_importances_are_stable_between_batch_sizes(spark):
     df = spark.range(600).selectExpr("double(id % 17) AS a", "rand(1) AS b", "rand(2) AS c", "int(id % 17 > 8 OR rand(3) > 0.9) AS label")
     one, two = ({r["feature"]: r["importance"] for r in matrix.rf_importance(df, ["a", "b", "c"], trees=60, batch=n).collect()} for n in (60, 20))
     assert sum(one.values()) == pytest.approx(1.0) and all(abs(one[c] - two[c]) < 0.05 for c in one) and one["a"] == max(one.values())
+
+
+def test_importance_keeps_the_nodes_of_rows_between_levels(spark, monkeypatch):
+    made, plain = [], matrix.RandomForestClassifier
+    monkeypatch.setattr(matrix, "RandomForestClassifier", lambda **k: made.append(plain(**k)) or made[-1])
+    df = spark.createDataFrame([(i % 2, float(i % 7), float(i % 2)) for i in range(40)], "label int, a double, b double")
+    top = matrix.rf_importance(df, ["a", "b"], trees=4, batch=2).first()
+    assert top["feature"] == "b" and len(made) == 2 and all(f.getCacheNodeIds() for f in made)

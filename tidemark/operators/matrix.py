@@ -282,7 +282,8 @@ def rf_importance(
 
     Trees are fitted ``batch`` at a time, each batch from a seed of its own, which bounds
     the statistics and nodes that a fit holds; the batches' importances are averaged by
-    their trees.  Nodes grow until they are pure or ``depth`` (30, Spark's most) deep."""
+    their trees.  Nodes grow until they are pure or ``depth`` (30, Spark's most) deep.  The
+    node that a row has come to is kept between levels, not sought from the root again."""
     weighted = with_class_weight(df.withColumn("label", F.col(label).cast("int")))
     data = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(weighted)
     data = data.select("_v", "label", "weight").persist()
@@ -290,7 +291,8 @@ def rf_importance(
     for i, at in enumerate(range(0, trees, batch)):
         n = min(batch, trees - at)
         forest = RandomForestClassifier(
-            labelCol="label", featuresCol="_v", weightCol="weight", numTrees=n, maxDepth=depth, seed=seed + i
+            labelCol="label", featuresCol="_v", weightCol="weight", numTrees=n, maxDepth=depth, seed=seed + i,
+            cacheNodeIds=True,
         )
         scores += n * forest.fit(data).featureImportances.toArray()
     data.unpersist()
