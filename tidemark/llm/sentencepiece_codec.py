@@ -6,7 +6,9 @@ on the agenda, stale entries are skipped.  Symbols that are no piece at the end
 become byte pieces.  No piece holds the space mark after another character, so a
 text is encoded by its stretches "space marks, then other characters": each
 distinct stretch goes through the agenda once, as long as the memory of a worker, two
-generations of ``GENERATION`` bytes, keeps it.  Every stretch that enters the memory is also encoded by the sentencepiece library, batch by batch; a difference stops
+generations of ``GENERATION`` bytes, keeps it.  The new short stretches of a slice of rows
+go through their agendas side by side, in arrays: each round takes every stretch's best
+pair.  Every stretch that enters the memory is also encoded by the sentencepiece library, batch by batch; a difference stops
 the job.  The library decodes the ids of each batch.
 
 The model travels to the tasks as bytes; its size is that of the vocabulary.
@@ -20,6 +22,7 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
@@ -30,6 +33,47 @@ from tidemark.llm.common import byte_slices, worker_cache
 MARK = "▁"
 GENERATION = 32 << 20  # bytes of stretches and ids, estimated; a worker keeps two generations
 SHORT, NEVER = 48, 1 << 60
+PLACE = 6  # bits for a position in a short stretch
+IN_A_ROW = 64  # stretches that the library encodes as one text
+ABREAST = 4096  # stretches merged at once: their arrays stay in the processor's cache
+
+
+class Pairs:
+    """(left, right) symbols, as numbers -> level and number of the piece they form: an
+    array of keys and one of places, each key in the first free slot from its hash on."""
+
+    def __init__(self, found: dict[tuple[int, int], tuple[int, int]]) -> None:
+        self.bits = max(4, (4 * len(found)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.level, self.made = np.full(1 << self.bits, NEVER >> PLACE, np.int64), np.zeros(1 << self.bits, np.int64)
+        key = np.array([x << 32 | y for x, y in found], np.int64)
+        level, made = np.array(list(found.values()), np.int64).reshape(-1, 2).T
+        slot = self.slots(key)
+        while len(key):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            free = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[free]], self.level[slot[free]], self.made[slot[free]] = key[free], level[free], made[free]
+            rest = np.ones(len(key), bool)
+            rest[free] = False
+            key, level, made, slot = key[rest], level[rest], made[rest], self.after(slot[rest])
+
+    def slots(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def after(self, slot: np.ndarray) -> np.ndarray:
+        return (slot + 1) & ((1 << self.bits) - 1)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Levels, that of ``NEVER`` where there is no piece, and pieces."""
+        key = left << 32 | right
+        slot = self.slots(key)
+        there = self.keys[slot]
+        again = np.flatnonzero((there != key) & (there >= 0))
+        while len(again):
+            slot[again] = self.after(slot[again])
+            there = self.keys[slot[again]]
+            again = again[(there != key[again]) & (there >= 0)]
+        return self.level[slot], self.made[slot]  # a free slot says never
 
 
 class Codec:
@@ -49,6 +93,21 @@ class Codec:
             raise ValueError("pieces with inner spaces, or a normaliser that changes texts, aren't supported")
         self.joined = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.end = lib.eos_id()
+        # symbols as numbers: pieces, then ASCII and characters that only stand in pieces; 0 is any other character
+        number = {p: i for i, p in enumerate(self.id, 1)}
+        for c in sorted({*map(chr, range(128)), *"".join(self.id)} - number.keys()):
+            number[c] = len(number) + 1
+        self.piece_id = np.full(len(number) + 1, -1, np.int64)
+        self.piece_id[1 : len(self.id) + 1] = list(self.id.values())
+        for b in range(128):
+            if chr(b) not in self.id:
+                self.piece_id[number[chr(b)]] = self.bytes[b]
+        self.number = np.zeros(max(ord(c) for c in number if len(c) == 1) + 2, np.int64)
+        for c in number:
+            if len(c) == 1:
+                self.number[ord(c)] = number[c]
+        halves = ((p, number.get(p[:i]), number.get(p[i:])) for p in self.id for i in range(1, len(p)))
+        self.pairs = Pairs({(x, y): (self.level[p], number[p]) for p, x, y in halves if x and y})
 
     def merged(self, text: str) -> list[int]:
         """Ids of a stretch whose spaces are marks."""
@@ -108,6 +167,51 @@ class Codec:
                     heapq.heappush(agenda, (r, k, symbols[k] + piece))
         return [s for s in symbols if s]
 
+    def merged_many(self, texts: list[str]) -> dict[str, tuple[int, ...]]:
+        """Texts of 1 to ``SHORT`` characters and their ids.  ``agenda`` holds the level of a
+        symbol and the next one of its text, with the position in the low bits: the least
+        entry of a text is its best pair, the leftmost of equal ones."""
+        never = NEVER >> PLACE << PLACE
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        symbol = self.number[np.minimum(codes, len(self.number) - 1)]
+        starts = np.cumsum(size) - size
+        place = np.arange(len(symbol)) - np.repeat(starts, size)
+        level, made = (np.append(x, 0) for x in self.pairs(symbol[:-1], symbol[1:]))
+        level[starts + size - 1] = NEVER >> PLACE
+        agenda, text = level << PLACE | place, np.arange(len(texts))
+        ended: list[tuple] = []
+        while len(text):
+            least = np.minimum.reduceat(agenda, starts)
+            going = least < never
+            if not going.all():
+                inside = np.repeat(going, size)
+                ended.append((text[~going], size[~going], symbol[~inside]))
+                symbol, agenda, made = symbol[inside], agenda[inside], made[inside]
+                text, size, least = text[going], size[going], least[going]
+            at = np.flatnonzero(agenda == np.repeat(least, size))
+            symbol[at] = made[at]
+            kept = np.ones(len(symbol), bool)
+            kept[at + 1] = False
+            symbol, agenda, made = symbol[kept], agenda[kept], made[kept]
+            at -= np.arange(len(at))
+            size = size - 1
+            starts = np.cumsum(size) - size
+            last = at == starts + size - 1
+            agenda[at] = never | (least & ((1 << PLACE) - 1))
+            new = np.concatenate([at[~last], at[at > starts] - 1])
+            level, made[new] = self.pairs(symbol[new], symbol[new + 1])
+            agenda[new] = level << PLACE | (agenda[new] & ((1 << PLACE) - 1))
+        text, size, symbol = (np.concatenate(x) for x in zip(*ended))
+        ids = self.piece_id[symbol]
+        ends = np.cumsum(size)
+        spelt = np.minimum.reduceat(ids, ends - size) < 0  # with characters of several bytes that are no pieces
+        told, names = tuple(ids.tolist()), list(map(texts.__getitem__, text.tolist()))
+        found = {t: told[lo:hi] for t, lo, hi in zip(names, (ends - size).tolist(), ends.tolist())}
+        for i in np.flatnonzero(spelt).tolist():
+            found[names[i]] = tuple(self.merged(names[i]))
+        return found
+
     def parts(self, text: str) -> list[str]:
         """``text`` cut between characters that are neighbours in no piece."""
         joined = self.joined
@@ -136,6 +240,15 @@ class Memory(dict):
         self.size += 200 + 2 * len(text) + 8 * len(ids)
         return ids
 
+    def learn(self, texts: set[str]) -> None:
+        """Takes in the short ones of ``texts`` that neither generation holds."""
+        new = [t for t in texts if t not in self and t not in self.old and t != MARK and len(t) <= SHORT]
+        for at in range(0, len(new), ABREAST):
+            found = self.codec.merged_many(new[at : at + ABREAST])
+            self.update(found)
+            self.size += 200 * len(found) + 2 * sum(map(len, found)) + 8 * sum(map(len, found.values()))
+        self.fresh += new
+
     def part(self, text: str) -> tuple[int, ...]:
         ids = self.get(text)
         if ids is None:
@@ -146,11 +259,15 @@ class Memory(dict):
     def check(self) -> None:
         """The library's view of the stretches that are new since the last call."""
         if self.fresh:
-            plain = [t[1:].replace(MARK, " ") for t in self.fresh]  # the library puts the first mark
-            found = list(map(tuple, self.codec.library.encode(plain, num_threads=1)))
-            if found != [self[t] for t in self.fresh]:
-                text = next(t for t, ids in zip(self.fresh, found) if self[t] != ids)
-                raise ValueError(f"encoding differs from the library's for {text!r}")
+            # stretches in a row are a text with the same stretches, but for those of marks only
+            alone = [[t] for t in self.fresh if t[-1] == MARK]
+            rows = [t for t in self.fresh if t[-1] != MARK]
+            rows = [rows[i : i + IN_A_ROW] for i in range(0, len(rows), IN_A_ROW)] + alone
+            plain = ["".join(r)[1:].replace(MARK, " ") for r in rows]  # the library puts the first mark
+            for row, ids in zip(rows, self.codec.library.encode(plain, num_threads=1)):
+                if ids != list(chain.from_iterable(map(self.__getitem__, row))):
+                    text = next((t for t in row if list(self[t]) != self.codec.library.encode(t[1:].replace(MARK, " "))), "".join(row))
+                    raise ValueError(f"encoding differs from the library's for {text!r}")
             self.fresh.clear()
         if self.size > GENERATION:
             self.old = dict(self)
@@ -192,7 +309,9 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", add_
         for batch in batches:
             for part in byte_slices(batch, 1 << 20):
                 texts = part.column(part.num_columns - 1).to_pylist()
-                ids = [list(chain.from_iterable(map(memory.__getitem__, stretches(x or "")))) for x in texts]
+                cut = [stretches(x or "") for x in texts]
+                memory.learn(set(chain.from_iterable(cut)))
+                ids = [list(chain.from_iterable(map(memory.__getitem__, x))) for x in cut]
                 memory.check()
                 decoded = codec.library.decode(ids, num_threads=1)
                 for x in ids:
