@@ -26,7 +26,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the co-trained classifier rejects."""
     model = cotrain.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = cotrain.score(docs.withColumns({f"_{c}": F.col(c) for c in docs.columns}), model, [f"_{c}" for c in docs.columns])
+    scored = cotrain.score(docs.withColumns({f"_{c}": F.col(c) for c in docs.columns}), model, [f"_{c}" for c in docs.columns], text_col="_text")
     return scored.where("accepted").select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
 
 

@@ -25,7 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from tidemark.llm.common import worker_cache
 from tidemark.llm.words import Hasher, word_chunks
 
 LABELLED, POOL, ROUNDS, PER_ROUND, PRECISION = 5_000, 5_000, 4, 400, 0.99
@@ -59,9 +61,9 @@ def meta_view(layout: np.ndarray, lang: str | None, source: str | None, n_chars:
     return np.concatenate([out, layout])
 
 
-def batch_views(batch: pa.RecordBatch, hasher: Hasher) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, text features, metadata features); the last columns are text, lang, source, n_chars."""
-    text, lang, source, n_chars = batch.columns[-4:]
+def batch_views(columns: Sequence[pa.Array], hasher: Hasher) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, text features, metadata features) of the columns text, lang, source, n_chars."""
+    text, lang, source, n_chars = columns
     rest = [c.to_pylist() for c in (lang, source, n_chars)]
     for lo, hi, h, at, _, _, part in word_chunks(text, hasher):
         first = 0
@@ -209,9 +211,9 @@ def sample_features(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str)
     """Features of the documents in ``ids`` (bounded) by id; of repeated ids, one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher = worker_cache("hasher", Hasher)
         for batch in batches:
-            found = list(batch_views(batch, hasher))
+            found = list(batch_views(batch.columns[-4:], hasher))
             blobs = [[v[k].astype("<f4").tobytes() for v in found] for k in (1, 2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(b, pa.binary()) for b in blobs]], ["id", "t", "m"])
 
@@ -260,19 +262,25 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str], text_col: str = "t
     scores.  Columns in ``keep`` that are called as the results are replaced."""
     results = ("text_probability", "meta_probability", "quality_probability")
     keep = [c for c in keep if c not in (*results, "accepted")]
-    given = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *view_columns(docs, text_col))
-    schema = given.select(*[f"k{i}" for i in range(len(keep))]).schema
+    kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    schema = docs.select(*kept).schema
+    views = view_columns(docs, text_col)
+    # a text that is kept goes to the workers once, and is the view's text, too
+    once = keep.index(text_col) if text_col in keep and docs.schema[text_col].dataType == StringType() else None
+    given = docs.select(*kept, *(views if once is None else views[1:]))
     for c in results:
         schema = schema.add(c, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher = worker_cache("hasher", Hasher)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = list(batch_views(part, hasher))
+                own = part.columns[: len(keep)]
+                texts = part.column(len(keep) if once is None else once)
+                found = list(batch_views([texts, *part.columns[-3:]], hasher))
                 p = model.probabilities(np.stack([f[1] for f in found]), np.stack([f[2] for f in found]))
-                yield pa.RecordBatch.from_arrays(part.columns[:-4] + [pa.array(p[:, k]) for k in range(3)], part.schema.names[:-4] + list(results))
+                yield pa.RecordBatch.from_arrays(own + [pa.array(p[:, k]) for k in range(3)], part.schema.names[: len(keep)] + list(results))
 
     scored = given.mapInArrow(run, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
     return scored.withColumn("accepted", F.col("quality_probability") >= threshold)
