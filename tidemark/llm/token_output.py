@@ -57,6 +57,7 @@ class Vocabulary:
     pre-tokenizer makes of them and go straight to the library's model; all others go
     through the whole library.  Two generations of ``GENERATION`` bytes are kept."""
 
+    SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<>|")
     RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=?-@\[-`{}~]+")
     PLAIN = re.compile(r"(?:[a-zA-Zß-öø-ÿÀ-ÖØ-Þ0-9!-&(-/:;=?-@\[-`{}~])+")
 
@@ -72,22 +73,26 @@ class Vocabulary:
         self.old: dict[bytes, bytes] = {}
         self.size = 0
         self.short: dict[str, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
 
     def run(self, piece: str) -> bytes:
         """Ids of one run, which the pre-tokenizer doesn't part."""
         if not piece.isascii():
-            piece = "".join(map(self.letters.__getitem__, piece.encode()))
+            piece = piece.encode().decode("latin1").translate(self.letters)
         raw = self.raw
         return b"".join([raw[t.id] for t in self.model.tokenize(piece)])
 
     def parts(self, word: str) -> bytes:
-        """Ids of a plain word, run by run; short runs, of which there are few, are kept."""
-        runs = self.RUNS.findall(word.lower())
+        """Ids of a plain word in lower case, run by run; short runs, of which there are
+        few, are kept, and long ones may have been met as words."""
+        short, young, out = self.short, self.young, []
+        runs = self.RUNS.findall(word)
         if len(runs) == 1:
-            return self.run(runs[0])
-        short, out = self.short, []
+            return self.run(word)
         for r in runs:
             found = short.get(r)
+            if found is None and len(r) > 2:
+                found = young.get(r.encode())
             if found is None:
                 found = self.run(r)
                 if len(r) < 3:
@@ -95,27 +100,41 @@ class Vocabulary:
             out.append(found)
         return b"".join(out)
 
-    def learn(self, new: list[bytes]) -> None:
-        young, old, ask, size = self.young, self.old, [], 0
+    def learn(self, new: set[bytes]) -> None:
+        """Takes in words that the young generation doesn't hold, plain letters first."""
+        young, old, ask, signs = self.young, self.old, [], []
         ids, tokenize, plain = self.raw, self.model.tokenize, self.PLAIN.fullmatch
         for w in new:
             raw = old.get(w)
             if raw is None:
-                if w.isalpha() and w.islower():  # one run of ASCII letters
-                    raw = b"".join([ids[t.id] for t in tokenize(w.decode())])
-                elif plain(word := w.decode()) is not None:
-                    raw = self.parts(word)
-                else:  # also what may hold a special token
-                    ask.append(w)
+                if not (w.isalpha() and w.islower()):
+                    signs.append(w)
                     continue
+                raw = b"".join([ids[t.id] for t in tokenize(w.decode())])  # one run of ASCII letters
             young[w] = raw
-            size += 200 + len(w) + len(raw)
-        self.size += size
+        tails = self.tails
+        for w in signs:
+            base = w.rstrip(self.SIGNS)
+            if plain(word := base.decode()) is not None:  # it ends in a letter or digit, which parts it from the signs
+                raw = young.get(base) or old.get(base) or self.parts(word.lower())
+                if len(base) < len(w):
+                    tail = w[len(base) :]
+                    end = tails.get(tail)
+                    if end is None:
+                        end = self.run(tail.decode())
+                        if len(tail) < 4:
+                            tails[tail] = end
+                    raw += end
+                young[w] = raw
+            elif not base:
+                young[w] = self.run(w.decode())
+            else:  # also what may hold a special token
+                ask.append(w)
         for at in range(0, len(ask), 1000):
             part = ask[at : at + 1000]
             for w, found in zip(part, self.library.encode_batch([w.decode() for w in part], add_special_tokens=False)):
                 young[w] = np.array(found.ids, self.kind).tobytes()
-                self.size += 200 + len(w) + len(young[w])
+        self.size += 200 * len(new) + sum(map(len, new)) + sum(map(len, map(young.__getitem__, new)))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Raw ids of each text.  No token of the supported tokenizers spans ASCII white
@@ -124,7 +143,7 @@ class Vocabulary:
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         found = [list(map(self.young.get, ws)) for ws in words]
         gaps = [[i for i, raw in enumerate(f) if raw is None] if None in f else [] for f in found]
-        self.learn(list({ws[i] for ws, g in zip(words, gaps) for i in g}))
+        self.learn({ws[i] for ws, g in zip(words, gaps) for i in g})
         for ws, f, g in zip(words, found, gaps):
             for i in g:
                 f[i] = self.young[ws[i]]
