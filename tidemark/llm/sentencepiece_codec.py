@@ -4,12 +4,12 @@ The encoder keeps an agenda of adjacent symbol pairs that form a piece, ordered
 score and then from the left; the best pair is merged, its new neighbours are put
 on the agenda, stale entries are skipped.  Symbols that are no piece at the end
 become byte pieces.  No piece holds the space mark after another character, so a
-text is encoded by its stretches "space marks, then other characters": each
-distinct stretch goes through the agenda once, as long as the memory of a worker, two
+text is encoded by its stretches "space marks, then other characters", cut before line
+breaks, too, where no piece joins them to what stands before: each distinct stretch goes through the agenda once, as long as the memory of a worker, two
 generations of ``GENERATION`` bytes, keeps it.  The new short stretches of a slice of rows
 go through their agendas side by side, in arrays: each round takes every stretch's best
 pair.  Every stretch that enters the memory is also encoded by the sentencepiece library, batch by batch; a difference stops
-the job.  The library decodes the ids of each batch.
+the job.  All stretches share one object for an id.  The library decodes the ids of each batch.
 
 The model travels to the tasks as bytes; its size is that of the vocabulary.
 """
@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,27 +36,25 @@ GENERATION = 32 << 20  # bytes of stretches and ids, estimated; a worker keeps t
 SHORT, NEVER = 48, 1 << 60
 PLACE = 6  # bits for a position in a short stretch
 IN_A_ROW = 64  # stretches that the library encodes as one text
-ABREAST = 4096  # stretches merged at once: their arrays stay in the processor's cache
+ABREAST = 16384  # stretches merged at once
 
 
 class Pairs:
-    """(left, right) symbols, as numbers -> level and number of the piece they form: an
-    array of keys and one of places, each key in the first free slot from its hash on."""
+    """(left, right) symbols, as numbers -> number of the piece they form, or 0: an array
+    of keys and one of pieces, each key in the first free slot from its hash on."""
 
-    def __init__(self, found: dict[tuple[int, int], tuple[int, int]]) -> None:
+    def __init__(self, found: dict[tuple[int, int], int]) -> None:
         self.bits = max(4, (4 * len(found)).bit_length())
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.level, self.made = np.full(1 << self.bits, NEVER >> PLACE, np.int64), np.zeros(1 << self.bits, np.int64)
-        key = np.array([x << 32 | y for x, y in found], np.int64)
-        level, made = np.array(list(found.values()), np.int64).reshape(-1, 2).T
+        self.keys, self.made = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        key, made = np.array([x << 32 | y for x, y in found], np.int64), np.array(list(found.values()), np.int32)
         slot = self.slots(key)
         while len(key):
             free = np.flatnonzero(self.keys[slot] < 0)
             free = free[np.unique(slot[free], return_index=True)[1]]
-            self.keys[slot[free]], self.level[slot[free]], self.made[slot[free]] = key[free], level[free], made[free]
+            self.keys[slot[free]], self.made[slot[free]] = key[free], made[free]
             rest = np.ones(len(key), bool)
             rest[free] = False
-            key, level, made, slot = key[rest], level[rest], made[rest], self.after(slot[rest])
+            key, made, slot = key[rest], made[rest], self.after(slot[rest])
 
     def slots(self, key: np.ndarray) -> np.ndarray:
         return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -63,9 +62,8 @@ class Pairs:
     def after(self, slot: np.ndarray) -> np.ndarray:
         return (slot + 1) & ((1 << self.bits) - 1)
 
-    def __call__(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Levels, that of ``NEVER`` where there is no piece, and pieces."""
-        key = left << 32 | right
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 32 | right
         slot = self.slots(key)
         there = self.keys[slot]
         again = np.flatnonzero((there != key) & (there >= 0))
@@ -73,7 +71,7 @@ class Pairs:
             slot[again] = self.after(slot[again])
             there = self.keys[slot[again]]
             again = again[(there != key[again]) & (there >= 0)]
-        return self.level[slot], self.made[slot]  # a free slot says never
+        return self.made[slot]  # a free slot says 0
 
 
 class Codec:
@@ -82,7 +80,7 @@ class Codec:
         ids = range(lib.get_piece_size())
         normal = [i for i in ids if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))]
         self.piece = {i: lib.id_to_piece(i) for i in ids}
-        self.told = [str(i) for i in ids]
+        self.told = pa.array([str(i) for i in ids])
         self.id = {self.piece[i]: i for i in normal}
         level = {s: r for r, s in enumerate(sorted({lib.get_score(i) for i in normal}, reverse=True))}
         self.level = {self.piece[i]: level[lib.get_score(i)] for i in normal}
@@ -93,21 +91,28 @@ class Codec:
             raise ValueError("pieces with inner spaces, or a normaliser that changes texts, aren't supported")
         self.joined = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.end = lib.eos_id()
+        self.lines = not any(pair[1] == "\n" for pair in self.joined)  # no piece joins a line break to what stands before
         # symbols as numbers: pieces, then ASCII and characters that only stand in pieces; 0 is any other character
         number = {p: i for i, p in enumerate(self.id, 1)}
         for c in sorted({*map(chr, range(128)), *"".join(self.id)} - number.keys()):
             number[c] = len(number) + 1
+        self.ints = np.array([*ids, -1], object)  # one object for each id, however many stretches hold it
         self.piece_id = np.full(len(number) + 1, -1, np.int64)
         self.piece_id[1 : len(self.id) + 1] = list(self.id.values())
         for b in range(128):
             if chr(b) not in self.id:
                 self.piece_id[number[chr(b)]] = self.bytes[b]
-        self.number = np.zeros(max(ord(c) for c in number if len(c) == 1) + 2, np.int64)
+        self.number = np.zeros(max(ord(c) for c in number if len(c) == 1) + 2, np.int32)
         for c in number:
             if len(c) == 1:
                 self.number[ord(c)] = number[c]
         halves = ((p, number.get(p[:i]), number.get(p[i:])) for p in self.id for i in range(1, len(p)))
-        self.pairs = Pairs({(x, y): (self.level[p], number[p]) for p, x, y in halves if x and y})
+        self.pairs = Pairs({(x, y): number[p] for p, x, y in halves if x and y})
+        # levels by number, that of no piece behind all others; they leave room for a position
+        self.order = np.full(len(number) + 1, len(level), np.int32 if len(level) < 1 << 24 else np.int64)
+        for p in self.id:
+            self.order[number[p]] = self.level[p]
+        self.never = len(level) << PLACE
 
     def merged(self, text: str) -> list[int]:
         """Ids of a stretch whose spaces are marks."""
@@ -168,50 +173,61 @@ class Codec:
         return [s for s in symbols if s]
 
     def merged_many(self, texts: list[str]) -> dict[str, tuple[int, ...]]:
-        """Texts of 1 to ``SHORT`` characters and their ids.  ``agenda`` holds the level of a
-        symbol and the next one of its text, with the position in the low bits: the least
-        entry of a text is its best pair, the leftmost of equal ones."""
-        never = NEVER >> PLACE << PLACE
+        """Texts of 1 to ``SHORT`` characters and their ids.  A round takes all texts that have
+        ``n`` symbols now, as columns, and merges each one's best pair, so they have one fewer or
+        are done.  ``agenda`` holds the level of a symbol and the next one with its position in
+        the low bits: the least entry of a text is its best pair, the leftmost of equal ones."""
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-        symbol = self.number[np.minimum(codes, len(self.number) - 1)]
+        all_symbols = self.number[np.minimum(codes, len(self.number) - 1)]
         starts = np.cumsum(size) - size
-        place = np.arange(len(symbol)) - np.repeat(starts, size)
-        level, made = (np.append(x, 0) for x in self.pairs(symbol[:-1], symbol[1:]))
-        level[starts + size - 1] = NEVER >> PLACE
-        agenda, text = level << PLACE | place, np.arange(len(texts))
-        ended: list[tuple] = []
-        while len(text):
-            least = np.minimum.reduceat(agenda, starts)
-            going = least < never
-            if not going.all():
-                inside = np.repeat(going, size)
-                ended.append((text[~going], size[~going], symbol[~inside]))
-                symbol, agenda, made = symbol[inside], agenda[inside], made[inside]
-                text, size, least = text[going], size[going], least[going]
-            at = np.flatnonzero(agenda == np.repeat(least, size))
-            symbol[at] = made[at]
-            kept = np.ones(len(symbol), bool)
-            kept[at + 1] = False
-            symbol, agenda, made = symbol[kept], agenda[kept], made[kept]
-            at -= np.arange(len(at))
-            size = size - 1
-            starts = np.cumsum(size) - size
-            last = at == starts + size - 1
-            agenda[at] = never | (least & ((1 << PLACE) - 1))
-            new = np.concatenate([at[~last], at[at > starts] - 1])
-            level, made[new] = self.pairs(symbol[new], symbol[new + 1])
-            agenda[new] = level << PLACE | (agenda[new] & ((1 << PLACE) - 1))
-        text, size, symbol = (np.concatenate(x) for x in zip(*ended))
-        ids = self.piece_id[symbol]
-        ends = np.cumsum(size)
-        spelt = np.minimum.reduceat(ids, ends - size) < 0  # with characters of several bytes that are no pieces
-        told, names = tuple(ids.tolist()), list(map(texts.__getitem__, text.tolist()))
-        found = {t: told[lo:hi] for t, lo, hi in zip(names, (ends - size).tolist(), ends.tolist())}
-        for i in np.flatnonzero(spelt).tolist():
-            found[names[i]] = tuple(self.merged(names[i]))
+        text, symbol = np.zeros(0, np.int64), np.zeros((size.max(initial=0), 0), np.int32)
+        made = agenda = symbol[1:]
+        found: dict[str, tuple[int, ...]] = {}
+        for n in range(len(symbol), 0, -1):
+            new = np.flatnonzero(size == n)
+            if len(new):
+                fresh = all_symbols[starts[new] + np.arange(n)[:, None]]
+                pieces = self.pairs(fresh[:-1].ravel(), fresh[1:].ravel()).reshape(n - 1, len(new))
+                entries = self.entry(pieces, np.arange(n - 1, dtype=np.int32)[:, None])
+                text = np.concatenate([text, new])
+                symbol, made, agenda = (np.concatenate(x, axis=1) for x in ((symbol, fresh), (made, pieces), (agenda, entries)))
+            least = agenda.min(axis=0, initial=self.never)
+            going = np.flatnonzero(least < self.never)
+            if len(going) < len(text):
+                done = np.flatnonzero(least >= self.never)
+                self.ended([texts[i] for i in text[done].tolist()], symbol[:, done], found)
+                text, least = text[going], least[going]
+                symbol, made, agenda = (x[:, going] for x in (symbol, made, agenda))
+            if not len(text):
+                symbol, made, agenda = symbol[1:], made[1:], agenda[1:]
+                continue
+            at, column, place = least & ((1 << PLACE) - 1), np.arange(len(text)), np.arange(n, dtype=np.int32)[:, None]
+            symbol[at, column] = made[at, column]
+            symbol = np.where(place[: n - 1] > at, symbol[1:], symbol[:-1])
+            behind = place[: n - 2] > at
+            made, agenda = np.where(behind, made[1:], made[:-1]), np.where(behind, agenda[1:] - 1, agenda[:-1])
+            for near, off in ((np.flatnonzero(at < n - 2), 0), (np.flatnonzero(at > 0), 1)):
+                i = at[near] - off
+                pieces = self.pairs(symbol[i, near], symbol[i + 1, near])
+                made[i, near], agenda[i, near] = pieces, self.entry(pieces, i)
         return found
 
+    def entry(self, piece: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return self.order[piece] << PLACE | place
+
+    def ended(self, texts: list[str], symbol: np.ndarray, found: dict[str, tuple[int, ...]]) -> None:
+        """Puts the ids of texts, whose symbols are columns, into ``found``."""
+        ids = self.piece_id[symbol]
+        found.update(zip(texts, map(tuple, self.ints[ids.T].tolist())))
+        for i in np.flatnonzero((ids < 0).any(axis=0)).tolist():  # with characters of several bytes that are no pieces
+            found[texts[i]] = tuple(self.ints[self.merged(texts[i])].tolist())
+
+    def told_of(self, ids: list[list[int]], n: np.ndarray) -> pa.Array:
+        """Each list of ``n`` ids as decimal numbers joined by one space."""
+        flat = self.told.take(pa.array(np.fromiter(chain.from_iterable(ids), np.int32, n.sum())))
+        return pc.binary_join(pa.LargeListArray.from_arrays(np.append(0, np.cumsum(n)), flat), " ")
+
     def parts(self, text: str) -> list[str]:
         """``text`` cut between characters that are neighbours in no piece."""
         joined = self.joined
@@ -233,7 +249,7 @@ class Memory(dict):
         ids = self.old.get(text)
         if ids is None:
             parts = self.codec.parts(text)
-            ids = tuple(self.codec.merged(text)) if len(parts) == 1 else tuple(chain.from_iterable(map(self.part, parts)))
+            ids = self.ids_of(text) if len(parts) == 1 else tuple(chain.from_iterable(map(self.part, parts)))
             if text != MARK:  # of which the library makes nothing
                 self.fresh.append(text)
         self[text] = ids
@@ -249,10 +265,13 @@ class Memory(dict):
             self.size += 200 * len(found) + 2 * sum(map(len, found)) + 8 * sum(map(len, found.values()))
         self.fresh += new
 
+    def ids_of(self, text: str) -> tuple[int, ...]:
+        return tuple(self.codec.ints[self.codec.merged(text)].tolist())
+
     def part(self, text: str) -> tuple[int, ...]:
         ids = self.get(text)
         if ids is None:
-            ids = self[text] = tuple(self.codec.merged(text))
+            ids = self[text] = self.ids_of(text)
             self.size += 200 + 2 * len(text) + 8 * len(ids)
         return ids
 
@@ -262,11 +281,15 @@ class Memory(dict):
             # stretches in a row are a text with the same stretches, but for those of marks only
             alone = [[t] for t in self.fresh if t[-1] == MARK]
             rows = [t for t in self.fresh if t[-1] != MARK]
-            rows = [rows[i : i + IN_A_ROW] for i in range(0, len(rows), IN_A_ROW)] + alone
+            first = [MARK + "a"]  # which a stretch that begins with a line break can follow
+            rows = [first + rows[i : i + IN_A_ROW] for i in range(0, len(rows), IN_A_ROW)] + alone
             plain = ["".join(r)[1:].replace(MARK, " ") for r in rows]  # the library puts the first mark
             for row, ids in zip(rows, self.codec.library.encode(plain, num_threads=1)):
                 if ids != list(chain.from_iterable(map(self.__getitem__, row))):
-                    text = next((t for t in row if list(self[t]) != self.codec.library.encode(t[1:].replace(MARK, " "))), "".join(row))
+                    alone = (t if t[0] == MARK else first[0] + t for t in row)
+                    said = (self.codec.library.encode(t[1:].replace(MARK, " ")) for t in alone)
+                    told = ([*(() if t[0] == MARK else self[first[0]]), *self[t]] for t in row)
+                    text = next((t for t, x, y in zip(row, said, told) if x != y), "".join(row))
                     raise ValueError(f"encoding differs from the library's for {text!r}")
             self.fresh.clear()
         if self.size > GENERATION:
@@ -276,15 +299,18 @@ class Memory(dict):
 
 
 STRETCH = re.compile(f"{MARK}+[^{MARK}]*")
+LINE_STRETCH = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
 
 
-def stretches(text: str) -> list[str]:
-    """The text, with the mark in front that the model adds, in stretches."""
+def stretches(text: str, lines: bool = False) -> list[str]:
+    """The text, with the mark in front that the model adds, in stretches; ``lines``: cut
+    before line breaks, too."""
     if not text:
         return []
     if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
-        return STRETCH.findall(MARK + text.replace(" ", MARK))
-    return (MARK + text.replace(" ", " " + MARK)).split(" ")
+        return (LINE_STRETCH if lines else STRETCH).findall(MARK + text.replace(" ", MARK))
+    text = MARK + text.replace(" ", " " + MARK)
+    return (text.replace("\n", " \n") if lines else text).split(" ")
 
 
 def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", add_end: bool = True) -> DataFrame:
@@ -305,22 +331,19 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", add_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = worker_cache(key, lambda: Memory(Codec(model)))
         codec = memory.codec
-        told, end = codec.told, [codec.end] if add_end else []
+        end = [codec.end] if add_end else []
         for batch in batches:
             for part in byte_slices(batch, 1 << 20):
                 texts = part.column(part.num_columns - 1).to_pylist()
-                cut = [stretches(x or "") for x in texts]
+                cut = [stretches(x or "", codec.lines) for x in texts]
                 memory.learn(set(chain.from_iterable(cut)))
                 ids = [list(chain.from_iterable(map(memory.__getitem__, x))) for x in cut]
                 memory.check()
                 decoded = codec.library.decode(ids, num_threads=1)
                 for x in ids:
                     x += end
-                more = [
-                    pa.array([" ".join(map(told.__getitem__, x)) for x in ids], pa.string()),
-                    pa.array(list(map(len, ids)), pa.int64()),
-                    pa.array(decoded, pa.string()),
-                ]
+                n = np.fromiter(map(len, ids), np.int64, len(ids))
+                more = [codec.told_of(ids, n), pa.array(n), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(part.columns[:-1] + more, part.schema.names[:-1] + list(results))
 
     schema = kept.add("ids", "string").add("n_tokens", "long").add("decoded", "string")
