@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 Parquet and read again as the next one's ``docs``.  All but the last return the
 columns of ``documents``; ``n_chars`` follows the text.  Rows with a null id pass every
-stage that decides by id.  Empty tables pass as empty tables.
+stage that decides by id.  Empty tables pass as empty tables.  The session's Arrow batches,
+if it leaves them at 64 MB, are bounded to 4 MB from the first stage on.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import cotrain, decontaminate, line_dedup, minhash, sentencepiece_codec
-from tidemark.llm.common import broadcast_if_small, stored
+from tidemark.llm.common import broadcast_if_small, small_batches, stored
 from tidemark.llm.queries import PIECE_MODEL, vocabulary
 
 ORACLE_SQL = None  # a fitted classifier has no SQL; the tests hold the stages against plain Python
@@ -25,6 +26,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the co-trained classifier rejects."""
+    small_batches(spark)
     model = cotrain.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = cotrain.score(docs.withColumns({f"_{c}": F.col(c) for c in docs.columns}), model, [f"_{c}" for c in docs.columns], text_col="_text")
     return scored.where("accepted").select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
@@ -61,6 +63,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digest of the text that they decode to."""
+    small_batches(spark)
     coded = sentencepiece_codec.encode_decode(docs.select("doc_id", "text"), vocabulary(PIECE_MODEL))
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -2,10 +2,12 @@
 
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
 from tidemark.llm import sentencepiece_codec
+from tidemark.llm.common import BATCH_BYTES
 from tidemark.llm.queries import PIECE_MODEL, vocabulary
 from tidemark.llm.sentencepiece_codec import MARK, Codec, Memory, stretches
 
@@ -49,3 +51,28 @@ def test_a_wrong_line_is_told(codec):
     memory.fresh += ["\nthree", "\ntwo"]
     with pytest.raises(ValueError, match=r"'\\ntwo'"):
         memory.check()
+
+
+def test_the_pipeline_sends_small_batches(spark, frame):
+    """A table that went to a worker whole, as one batch, goes in several; rows are the same."""
+    docs = frame([(i, f"word{i} " * 2000) for i in range(600)]).coalesce(1)
+    before = spark.conf.get(BATCH_BYTES)
+    try:
+        spark.conf.unset(BATCH_BYTES)
+        coded = corpus_pipeline.pieces(spark, docs, "")
+        assert coded.count() == 600 and coded.where("n_tokens < 2000").count() == 0
+        assert batches(docs) > 1
+        spark.conf.set(BATCH_BYTES, "32m")
+        corpus_pipeline.pieces(spark, docs, "")
+        assert spark.conf.get(BATCH_BYTES) == "32m" and batches(docs) == 1
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
+def batches(docs):
+    import pyarrow as pa
+
+    def count(given):
+        yield pa.RecordBatch.from_pydict({"n": [sum(1 for _ in given)]})
+
+    return docs.mapInArrow(count, "n long").groupBy().sum("n").first()[0]
