@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import importance, matrix
+from tidemark.operators import forest, forest_scores, importance, matrix
 
 
 def brute_tree(bins, one, drawn, weights, pick, depth, level=0):
@@ -62,3 +62,34 @@ def test_trees_of_large_tables_stay_out_of_the_driver(spark, monkeypatch):
     assert one[0]["feature"] == "b" and matrix.rf_importance(df, ["a", "b"], trees=7).collect() == one
     with pytest.raises(ValueError):
         matrix.rf_importance(df.withColumn("a", F.when(F.col("a") > 1, F.col("a"))), ["a", "b"], trees=2)
+
+
+def test_hashes_go_on_as_in_spark(spark):
+    ids = [None, "", "é", *["abcdefghij"[: n % 10] * 1 + "x" * n for n in range(70)], "-12", "4294967296"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(ids)], "i int, v string").select("i", F.xxhash64(F.lit(7), F.lit("t")).alias("b"), F.xxhash64(F.lit(7), F.lit("t"), "v").alias("h"))
+    rows = sorted(df.collect())
+    got = forest_scores.Hashes([None if v is None else v.encode() for v in ids]).after(rows[0]["b"]).view(np.int64)
+    assert got.tolist() == [r["h"] for r in rows]
+
+
+def test_scores_of_forests_that_are_not_kept(spark, monkeypatch):
+    """The same as of forests that are: samples of a share or a number, with repeats, equal rows
+    and features that don't vary; and no forest is grown for them."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(400, 5)), 2)
+    x[:, 3], x[50:90] = 1.0, x[50]
+    x[100:200, :2] = 0.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(3)
+    train, val = df.where("id % 3 <> 0"), df.where("id % 3 = 0")
+    keys = ("trees", "max_samples", "max_features", "bootstrap", "contamination")
+    settings = [dict(zip(keys, v)) for v in [(9, 0.8, 0.8, False, "auto"), (14, 0.8, 1.0, True, 0.03), (9, 20, 1.0, False, "auto")]]
+    want = forest.score_many(val, forest.fit_isolation_forests(train, "id", "x", settings), "x", "score")
+    told = lambda df: {(r["id"], r["model"]): r["score"] for r in df.collect()}
+    want, grown = told(want), []
+    small = forest.grow_small
+    monkeypatch.setattr(forest, "KEPT_ROWS", 200)
+    monkeypatch.setattr(forest, "grow_small", lambda *a: grown.append(a[3]) or small(*a))
+    monkeypatch.setattr(forest, "grow_large", None)
+    got = told(forest.forest_scores(train, val, "id", "x", settings))
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    assert [s.per_tree for s, _ in grown[0]] == [20] and len(grown) == 1

@@ -33,6 +33,8 @@ AUTO_SAMPLES = 256
 MAX_TREES = 10_000
 MAX_MODEL_ROWS = 4_000_000  # trees x rows per tree of a forest that travels to the tasks
 LOCAL_ROWS = 50_000  # rows of a node that one task finishes
+KEPT_ROWS = 200_000  # trees x rows per tree of a forest that is worth keeping for one use
+TASK_VALUES = 48_000_000  # values of training and scored rows that a task can hold
 BATCH_ROWS = 20_000_000  # sampled rows, and scored rows x trees, handled at once
 ARRAYS = "feature array<int>, cut array<double>, left array<int>, right array<int>, path array<double>"
 MASK = (1 << 64) - 1
@@ -270,18 +272,20 @@ class Sample:
     per_tree: int
     bootstrap: bool
 
+    def distinct(self, rows: int) -> int:
+        """Distinct rows of a tree, of ``rows``."""
+        return max(1, round(-rows * np.expm1(-self.per_tree / rows))) if self.bootstrap else self.per_tree
+
     def take(self, df: DataFrame, id_col: str, col: str, rows: int, seed: int) -> DataFrame:
         """``tree, x, copies``."""
-        distinct = max(1, round(-rows * np.expm1(-self.per_tree / rows))) if self.bootstrap else self.per_tree
-        found = tree_samples(df, id_col, col, rows, self.trees, distinct, seed)
+        found = tree_samples(df, id_col, col, rows, self.trees, self.distinct(rows), seed)
         copies = repeats(self.per_tree, rows, seed) if self.bootstrap else F.lit(1)
         return found.select("tree", F.col("x").cast("array<double>").alias("x"), copies.alias("copies"))
 
 
-def fit_isolation_forests(df: DataFrame, id_col: str, col: str, settings: Sequence[Mapping], seed: int = 42) -> list[IsolationForest | StoredForest]:
-    """One forest for each of ``settings`` (trees, max_samples, max_features, bootstrap,
-    contamination; see ``fit_isolation_forest``).  Settings that differ in the share of
-    outliers only are one forest; all forests that fit into tasks are grown in one job."""
+def structures(df: DataFrame, col: str, settings: Sequence[Mapping]) -> tuple[int, int, dict, list]:
+    """Rows and width of ``df``, the forests (sample, share of features) that ``settings`` need,
+    numbered, and the one of each setting."""
     n = df.count()
     if n == 0:
         raise ValueError("No rows to fit on")
@@ -295,6 +299,14 @@ def fit_isolation_forests(df: DataFrame, id_col: str, col: str, settings: Sequen
         key = (Sample(trees, per_tree, bool(s.get("bootstrap", False))), float(s.get("max_features", 1.0)))
         wanted.setdefault(key, len(wanted))
         keys.append(key)
+    return n, width, wanted, keys
+
+
+def fit_isolation_forests(df: DataFrame, id_col: str, col: str, settings: Sequence[Mapping], seed: int = 42) -> list[IsolationForest | StoredForest]:
+    """One forest for each of ``settings`` (trees, max_samples, max_features, bootstrap,
+    contamination; see ``fit_isolation_forest``).  Settings that differ in the share of
+    outliers only are one forest; all forests that fit into tasks are grown in one job."""
+    n, width, wanted, keys = structures(df, col, settings)
     small = {k: i for k, i in wanted.items() if k[0].trees * k[0].per_tree <= MAX_MODEL_ROWS}
     forests = grow_small(df, id_col, col, small, n, width, seed) if small else {}
     for key in wanted:
@@ -312,6 +324,42 @@ def fit_isolation_forests(df: DataFrame, id_col: str, col: str, settings: Sequen
     return out
 
 
+def forest_scores(train: DataFrame, df: DataFrame, id_col: str, col: str, settings: Sequence[Mapping], out: str = "score", seed: int = 42) -> DataFrame:
+    """``score_many`` of the forests of ``settings`` fitted on ``train``.  Forests of more than
+    ``KEPT_ROWS`` sampled rows are not kept: where tasks can hold the rows, these are scored as
+    the trees grow."""
+    from tidemark.operators.forest_scores import UNIT, depth_sums
+
+    n, width, wanted, keys = structures(train, col, settings)
+    large = [k for k in wanted if k[0].trees * k[0].per_tree > KEPT_ROWS]
+    if not large or (n + max(n, df.count())) * width > TASK_VALUES:
+        return score_many(df, fit_isolation_forests(train, id_col, col, settings, seed), col, out)
+    value = lambda i: F.pow(F.lit(2.0), -F.col(f"d{i}") / F.lit(UNIT * large[i][0].trees * (float(expected_path(large[i][0].per_tree)) or 1.0)))
+    rows = materialise(df.withColumn("row", F.monotonically_increasing_id()))
+    asked = rows.select("row", F.col(col).alias("x"))
+    if any(s.get("contamination", "auto") != "auto" for s, key in zip(settings, keys) if key in large):  # their own scores too, below 0
+        asked = asked.unionAll(train.select((-1 - F.monotonically_increasing_id()).alias("row"), F.col(col).alias("x")))
+    base = train.select(F.col(id_col).cast("string").alias("row"), F.col(col).alias("x"))
+    sums = depth_sums(base, asked, large, n, width, seed)
+    scores = materialise(sums.select("row", *[value(i).alias(f"s{i}") for i in range(len(large))]))
+    own = scores.where("row < 0")
+    each, offsets = [], {}
+    for model, (s, key) in enumerate(zip(settings, keys)):
+        if key not in large:
+            continue
+        i, share = large.index(key), s.get("contamination", "auto")
+        if (i, share) not in offsets:
+            offsets[i, share] = 0.5 if share == "auto" else quantile_value(own, f"s{i}", 1.0 - float(share))
+        each.append(F.struct(F.lit(model).alias("model"), (F.col(f"s{i}") - F.lit(float(offsets[i, share]))).alias(out)))
+    parts = [rows.join(scores, "row").withColumn("_each", F.explode(F.array(*each))).select(*df.columns, "_each.*")]
+    small = [(model, s) for model, (s, key) in enumerate(zip(settings, keys)) if key not in large]
+    if small:
+        found = score_many(df, fit_isolation_forests(train, id_col, col, [s for _, s in small], seed), col, out)
+        number = F.element_at(F.array(*[F.lit(m) for m, _ in small]), F.col("model") + 1)
+        parts.append(found.withColumn("model", number))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def grow_small(df: DataFrame, id_col: str, col: str, wanted: Mapping[tuple, int], n: int, width: int, seed: int) -> dict:
     """Forests of which each tree's sample fits in a task."""
     drawn_samples = {s: i for i, s in enumerate(dict.fromkeys(s for s, _ in wanted))}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.evaluate import (
     average_precision_from, curve_table, grid_winner, roc_auc_from, tune_threshold_from,
 )
-from tidemark.operators.forest import fit_isolation_forests, score_many
+from tidemark.operators.forest import forest_scores
 from tidemark.operators.neighbours import lof_scores
 from tidemark.session import materialise
 
@@ -40,7 +40,7 @@ def candidate_scores(train: DataFrame, val: DataFrame, id_col: str, col: str, fo
     forests, lofs = list(forests), list(lofs)
     parts = []
     if forests:
-        scored = score_many(val, fit_isolation_forests(train, id_col, col, forests), col, "score")
+        scored = forest_scores(train, val, id_col, col, forests)
         parts.append(scored.select(F.col("model").alias("run"), F.lit("Isolation Forest").alias("model"), "label", "score"))
     if lofs:
         scored = lof_scores(train, val, id_col, col, lofs)
